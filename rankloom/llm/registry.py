@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import covering, lookalike
+from rankloom.llm import covering, lookalike, spans
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,16 @@ def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("tbl", "key", "form", (F.col("form") != F.col("text")).alias("changed"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal runs of characters that stand verbatim in another document."""
+    return spans.shared_spans(_read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every document is shared."""
+    return spans.shared_shares(_read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def queries() -> dict:
     """name -> f(spark, sf_dir)."""
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit() and callable(f)}
