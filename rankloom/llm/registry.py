@@ -5,13 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import covering, lookalike, spans
+from rankloom.llm import consensus, covering, lookalike, spans, springrank, topn
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One ranking of all models of the verdict log."""
+    return springrank.rank_models(_read(spark, sf_dir, "verdicts")).select("rank_no", "model")
+
+
+def p1_strengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranking with strengths and numbers of comparisons."""
+    return springrank.rank_models(_read(spark, sf_dir, "verdicts")).withColumn("strength", F.round("strength", 9))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consensus winner of every item of the panel."""
+    return consensus.consensus(_read(spark, sf_dir, "panel"))[0].select("qid", "model_a", "model_b", "winner")
+
+
+def p2_judges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ability and agreement of every judge."""
+    found = consensus.consensus(_read(spark, sf_dir, "panel"))[1]
+    return found.select("judge", "n_votes", F.round("ability", 6).alias("ability"), F.round("agreement", 6).alias("agreement"))
+
+
+def p2_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chance-corrected agreement of the whole panel."""
+    found = consensus.krippendorff(consensus.votes_of(_read(spark, sf_dir, "panel"))[1])
+    return found.select("n_items", "n_votes", *[F.round(c, 9).alias(c) for c in ("observed", "expected", "alpha")])
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every model and query."""
+    return topn.top_documents(_read(spark, sf_dir, "ranked"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate pairs of corpus passages and of queries."""
     rows = covering.near_rows(_read(spark, sf_dir, "corpus"), "doc_id", "text", "corpus").unionByName(
