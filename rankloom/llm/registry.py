@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import consensus, covering, lookalike, spans, springrank, topn
+from rankloom.llm import consensus, covering, leaks, lookalike, mixing, spans, springrank, topn
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,26 @@ def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("tbl", "key", "form", (F.col("form") != F.col("text")).alias("changed"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items of which twelve consecutive words stand in them."""
+    return leaks.verbatim_leaks(_read(spark, sf_dir, "documents"), "doc_id", _read(spark, sf_dir, "benchmark"), "item_id").select("doc_id", "item_id")
+
+
+def p6_reparameterised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that repeat an item with numbers, names or units replaced."""
+    return leaks.reparameterised_leaks(_read(spark, sf_dir, "documents"), "doc_id", _read(spark, sf_dir, "benchmark"), "item_id")
+
+
+def p7_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rate and the number of copies of every document in the mix."""
+    return mixing.mix(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "mix_targets")).documents
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares the mix reaches, by source."""
+    return mixing.mix(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "mix_targets")).sources
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maximal runs of characters that stand verbatim in another document."""
     return spans.shared_spans(_read(spark, sf_dir, "documents"), "doc_id", "text")
