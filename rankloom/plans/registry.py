@@ -1,19 +1,521 @@
-"""Queries of the arena's operators, and their SQL."""
+"""Queries of the arena's operators over the driver's tables. plans/oracle.py holds their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from rankloom.functions import jsonx, prompts, text
+from rankloom.operators import agreement, dedup, generate, judge, metrics, rank, results, retrieve, sampling
+from rankloom.plans.oracle import oracle_sql  # noqa: F401
+from rankloom.runtime import shared_dir, written
+from rankloom.sources import corpus, logs
+from rankloom.streaming import verdicts as streaming
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _docs(spark, sf) -> DataFrame:
+    return corpus.table_docs(_t(spark, sf, "corpus"))
+
+
+def _asked(spark, sf) -> DataFrame:
+    """The query table, one row an id, placed by the number in the id."""
+    rows = _t(spark, sf, "queries").filter("qid is not null")
+    last = F.max_by(F.struct("text", "seed_doc_ids", "quality"), F.struct("created_at", "text"))
+    one = rows.groupBy("qid").agg(last.alias("r")).select("qid", "r.*")
+    return one.withColumn("pos", F.substring("qid", 2, 20).cast("long"))
+
+
+def _search(spark, sf) -> DataFrame:
+    """The stated query set of a search: every query whose number is divisible by 50, against all documents."""
+    return _asked(spark, sf).filter("pos % 50 = 0 and text is not null")
+
+
+def _hits(spark, sf) -> DataFrame:
+    """Hits of the delivered lists; pos by shard, then place."""
+    return logs.list_hits(_t(spark, sf, "ranked"))
+
+
+def _named(log: DataFrame) -> DataFrame:
+    return log.withColumns({c: text.strip(c) for c in ("model_a", "model_b")})
+
+
+def _verdicts(spark, sf) -> DataFrame:
+    return _named(_t(spark, sf, "verdicts"))
+
+
+def _models(spark, sf) -> list[str]:
+    return sorted(r[0] for r in _t(spark, sf, "ranked").select("model").distinct().limit(1001).collect())  # the roster
+
+
+def _r(c: str | Column, n: int = 6) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, n)
+
+
+# ------------------------------------------------------------ scans, projections, filters
+
+
+@query
+def corpus_scan(spark, sf):
+    return _docs(spark, sf)
+
+
+@query
+def title_text_concat(spark, sf):
+    return _t(spark, sf, "corpus").select("pos", text.title_text("title", "text").alias("full_text"))
+
+
+@query
+def corpus_last_wins(spark, sf):
+    return corpus.last_wins(_t(spark, sf, "corpus").filter("doc_id is not null").select("doc_id", "title", "corpus_id", "pos"), "doc_id")
+
+
+@query
+def query_heuristics(spark, sf):
+    return _asked(spark, sf).select("qid", text.query_ok("text").alias("ok"))
+
+
+@query
+def query_quality_filter(spark, sf):
+    return generate.good_quality(_asked(spark, sf)).select("qid", "quality")
+
+
+@query
+def query_renumber_limit(spark, sf):
+    good = generate.good_quality(_asked(spark, sf).filter(text.query_ok("text")))
+    return generate.renumbered(good, 100).select("qid", "text", "pos")
+
+
+@query
+def token_sets(spark, sf):
+    rows = _docs(spark, sf).select("doc_id", text.tokens("text").alias("t"))
+    return rows.select("doc_id", F.size("t").alias("n_tokens"), F.array_join(F.array_sort("t"), " ").alias("tokens"))
+
+
+@query
+def jaccard_pairs(spark, sf):
+    seeds = metrics.seed_labels(_asked(spark, sf)).join(_asked(spark, sf).select("qid", F.col("text").alias("q")), "qid")
+    met = seeds.join(_docs(spark, sf).select("doc_id", "text"), "doc_id").filter("q is not null")
+    return met.select("qid", "doc_id", _r(text.jaccard(text.tokens("q"), text.tokens("text"))).alias("jaccard"))
+
+
+@query
+def near_dup_edges(spark, sf):
+    """Positions of near-duplicate queries; equal token sets are one node."""
+    return dedup.near_edges(_asked(spark, sf).filter("text is not null"))
+
+
+@query
+def greedy_dedup(spark, sf):
+    return dedup.greedy_keep(_asked(spark, sf).filter("text is not null")).select("qid", "pos")
+
+
+@query
+def truncate_words(spark, sf):
+    return _t(spark, sf, "documents").filter("text is not null").select("doc_id", text.cut("text", 60).alias("head"), F.length(text.cut("text", 2000)).alias("shown"))
+
+
+@query
+def slugs(spark, sf):
+    names = rank.model_names(_t(spark, sf, "verdicts"))
+    return names.select("model", text.slug("model").alias("slug"), text.short_name("model").alias("short"))
+
+
+@query
+def identity_hash(spark, sf):
+    return _t(spark, sf, "verdicts").select("line_no", text.identity("judge", "query_set", "model_a", "model_b").alias("id"))
+
+
+@query
+def writer_prompt(spark, sf):
+    """The generator's prompt for the seed documents of every query, hashed, and the mock client's query."""
+    seeds = _asked(spark, sf).select("qid", F.posexplode("seed_doc_ids").alias("at", "doc_id"))
+    shown = seeds.join(_docs(spark, sf).select("doc_id", "text"), "doc_id").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("l"))
+    user = shown.select("qid", prompts.writer_user(F.transform("l", lambda x: x["text"])).alias("user"))
+    answer = text.mock_answer(F.concat(F.lit(prompts.writer_system() + " "), F.col("user")))
+    said = F.try_element_at(jsonx.answer_fields(answer), F.lit("query"))
+    return user.select("qid", F.sha2("user", 256).alias("prompt_hash"), said.alias("written"))
+
+
+@query
+def mock_quality(spark, sf):
+    asked = _asked(spark, sf).filter("text is not null")
+    answer = text.mock_answer(F.concat(F.lit(prompts.RATER_SYSTEM + " "), prompts.rater_user("text")))
+    return asked.select("qid", text.quality(F.try_element_at(jsonx.answer_fields(answer), F.lit("score"))).alias("quality"))
+
+
+@query
+def extract_json(spark, sf):
+    """The last object of answers with prose and fences around it."""
+    rows = _t(spark, sf, "events").select("event_id", F.concat(F.lit("I think {not json} so:\n```json\n{\"old\": 1}\n"), F.col("props"), F.lit("\n``` as said.")).alias("answer"))
+    got = rows.select("event_id", F.array_sort(F.map_entries(jsonx.answer_fields("answer"))).alias("e"))
+    return got.select("event_id", F.size("e").alias("n"), F.array_join(F.transform("e", lambda x: F.concat(x["key"], F.lit("="), x["value"])), ";").alias("members"))
+
+
+# ------------------------------------------------------------ retrieval
+
+
+def _top(scored: DataFrame) -> DataFrame:
+    return retrieve.ranked_hits(scored, 10).select("qid", "doc_id", F.col("rank").cast("int").alias("rank"), "score")
+
+
+@query
+def bm25_topk(spark, sf):
+    docs = written(_docs(spark, sf), "docs")
+    return _top(retrieve.bm25(docs, _search(spark, sf), retrieve.shared_tokens(docs)))
+
+
+@query
+def tfidf_topk(spark, sf):
+    docs = written(_docs(spark, sf), "docs")
+    return _top(retrieve.tfidf(docs, _search(spark, sf), retrieve.shared_tokens(docs)))
+
+
+@query
+def jaccard_topk(spark, sf):
+    docs = written(_docs(spark, sf), "docs")
+    return _top(retrieve.jaccard(docs, _search(spark, sf), retrieve.shared_tokens(docs)))
+
+
+def _dense(how: str):
+    def run(spark, sf):
+        vectors = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
+        asked = vectors.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), "vec")
+        return _top(retrieve.dense(vectors, asked, how, k=10).drop("rank"))
+
+    return run
+
+
+for _how in ("dense_cos", "dense_dot", "dense_l2", "dense_trunc_16", "dense_sign"):
+    QUERIES[f"{_how}_topk"] = _dense(_how)
+
+
+@query
+def self_match_drop(spark, sf):
+    """F03 on a table where queries are documents: counts before and after."""
+    v = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("vec_id").alias("qid"), F.col("label").alias("model"))
+    near = v.select("qid", "model").join(v.select("doc_id", "model"), "model").filter("qid % 50 = 0")
+    return logs.drop_self(near).groupBy("qid").agg(F.count("*").alias("n"))
+
+
+@query
+def ranked_lists(spark, sf):
+    roster = spark.createDataFrame([(m,) for m in _models(spark, sf)], "model string")
+    lists = retrieve.top_k(_hits(spark, sf), _asked(spark, sf), _docs(spark, sf), roster, 10, strict=False)
+    return lists.select("model", "qid", F.array_join("doc_ids", ",").alias("docs"), F.aggregate("doc_texts", F.lit(0), lambda n, t: n + F.length(t)).alias("chars"))
+
+
+@query
+def missing_hits_left_join(spark, sf):
+    roster = spark.createDataFrame([(m,) for m in _models(spark, sf)], "model string")
+    lists = retrieve.top_k(_hits(spark, sf), _asked(spark, sf), _docs(spark, sf), roster, 10, strict=False)
+    return lists.groupBy("model").agg(F.count("*").alias("n"), F.count(F.when(F.size("doc_ids") == 0, 1)).alias("empty"))
+
+
+@query
+def hits_outside_corpus(spark, sf):
+    best = retrieve.ranked_hits(_hits(spark, sf), 10, ("model", "qid"), "pos")
+    return best.join(_docs(spark, sf).select("doc_id"), "doc_id", "left_anti").groupBy("model").agg(F.count("*").alias("n"))
+
+
+@query
+def ndcg_at_10(spark, sf):
+    return metrics.ndcg(_hits(spark, sf), metrics.seed_labels(_asked(spark, sf))).select("model", _r("ndcg").alias("ndcg"))
+
+
+@query
+def precision_at_10(spark, sf):
+    return metrics.precision(_hits(spark, sf), metrics.seed_labels(_asked(spark, sf))).select("model", _r("precision").alias("precision"))
+
+
+# ------------------------------------------------------------ judging
+
+
+def _meetings(spark, sf) -> DataFrame:
+    """Every two models' lists for the stated query set."""
+    models = _models(spark, sf)
+    roster = spark.createDataFrame([(m,) for m in models], "model string")
+    some = _search(spark, sf)
+    hits = _hits(spark, sf).join(F.broadcast(some.select("qid")) if sampling.small(some) else some.select("qid"), "qid", "left_semi")
+    lists = written(retrieve.top_k(hits, some, _docs(spark, sf), roster, 10, strict=False), "ranked")
+    return judge.meetings(lists, judge.model_pairs(spark, models))
+
+
+@query
+def model_pairs(spark, sf):
+    return judge.model_pairs(spark, _models(spark, sf))
+
+
+@query
+def pairs_by_query(spark, sf):
+    """How many delivered lists of two models meet on a query."""
+    lists = _t(spark, sf, "ranked").select("model", "qid").distinct()
+    a, b = lists.select(F.col("model").alias("model_a"), "qid"), lists.select(F.col("model").alias("model_b"), "qid")
+    return a.join(b, "qid").filter("model_a < model_b").groupBy("model_a", "model_b").agg(F.count("*").alias("n"))
+
+
+@query
+def pair_subset_semi(spark, sf):
+    pairs = judge.model_pairs(spark, _models(spark, sf))
+    asked = _asked(spark, sf)
+    qids = [r["qid"] for r in asked.orderBy("pos").select("qid").limit(sampling.PLAN_IDS).collect()]
+    chosen = sampling.pair_subset(spark, pairs.count(), qids, 5, 0)
+    return asked.select("qid").join(F.broadcast(pairs)).join(chosen, ["qid", "pair"], "left_semi").groupBy("model_a", "model_b").agg(F.count("*").alias("n"))
+
+
+@query
+def sampled_queries(spark, sf):
+    return sampling.sample_queries(_asked(spark, sf), 100, 0).select("qid", "text")
+
+
+@query
+def identical_retrieval(spark, sf):
+    met = _meetings(spark, sf)
+    return met.groupBy("model_a", "model_b").agg(F.count("*").alias("n"), F.count(F.when(judge.identical(met), 1)).alias("same"))
+
+
+@query
+def judge_prompt(spark, sf):
+    rows = judge.judge_prompts(_meetings(spark, sf), 100)
+    return rows.select("pair", "qid", "turn", F.sha2("user", 256).alias("prompt_hash"), F.length("user").alias("n_chars"))
+
+
+@query
+def mock_judge_raw(spark, sf):
+    met = _meetings(spark, sf)
+    rows = judge.mock_answers(judge.judge_prompts(met.filter(~judge.identical(met))), prompts.judge_system())
+    return judge.read_answers(rows).select("pair", "qid", "turn", "winner", "ok")
+
+
+@query
+def judged_verdicts(spark, sf):
+    done = judge.judge_all(_meetings(spark, sf), guard=False)
+    return done.select("qid", "model_a", "model_b", "score_a", F.array_join("raw", ",").alias("raw"), "reasoning", F.size("parsed_ok").alias("orders"))
+
+
+@query
+def winner_normalise(spark, sf):
+    said = _t(spark, sf, "verdicts").select(F.explode("raw").alias("said"))
+    return said.select("said", text.winner("said").alias("winner")).groupBy("said", "winner").agg(F.count("*").alias("n"))
+
+
+@query
+def verdict_scores(spark, sf):
+    two = _t(spark, sf, "verdicts").filter(F.size("raw") == 2)
+    w = [text.winner(F.col("raw")[k]) for k in (0, 1)]
+    return two.select("line_no", text.pair_score(w[0], w[1]).alias("score"), w[0].isNotNull().alias("ok_1"), w[1].isNotNull().alias("ok_2"))
+
+
+@query
+def reasons_joined(spark, sf):
+    parts = F.split(F.coalesce("reasoning", F.lit("")), r" \| ")
+    return _t(spark, sf, "verdicts").select("line_no", text.joined_reasons(F.concat(parts, F.array(F.lit("")))).alias("reason"))
+
+
+@query
+def verdict_last_wins(spark, sf):
+    cols = ["query_set", "qid", "judge", "model_a", "model_b"]
+    return logs.latest(_verdicts(spark, sf).select(*cols, "line_no", "score_a"), *cols)
+
+
+@query
+def verdict_todo_anti(spark, sf):
+    return judge.still_to_judge(_named(_t(spark, sf, "panel")).select("qid", "model_a", "model_b").distinct(), _verdicts(spark, sf))
+
+
+@query
+def verdict_union(spark, sf):
+    cols = ["qid", "model_a", "model_b"]
+    one = lambda t: logs.latest(_named(_t(spark, sf, t)).select(*cols, "line_no", "score_a"), *cols)
+    return judge.merged(one("verdicts"), one("panel")).groupBy("model_a", "model_b").agg(F.count("*").alias("n"), _r(F.avg("score_a")).alias("mean_score"))
+
+
+@query
+def judge_guard_counts(spark, sf):
+    by = ["model_a", "model_b"]
+    order = Window.partitionBy(*by).orderBy("line_no")
+    early = _verdicts(spark, sf).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= judge.GUARD_AFTER)
+    keyed = early.withColumn("pair", F.concat_ws("|", *by))
+    return judge.guard_counts(keyed)
+
+
+@query
+def judge_diagnostics(spark, sf):
+    found = results.diagnostics(_t(spark, sf, "verdicts"), ["judge"])
+    return found.select("judge", "judge_calls", "n_comparisons", *[_r(c).alias(c) for c in found.columns if c.endswith("_rate")])
+
+
+@query
+def judge_diagnostics_total(spark, sf):
+    found = results.diagnostics(_t(spark, sf, "verdicts"))
+    return found.select("judge_calls", "n_comparisons", *[_r(c).alias(c) for c in found.columns if c.endswith("_rate")])
+
+
+# ------------------------------------------------------------ ratings
+
+
+@query
+def model_names(spark, sf):
+    return rank.model_names(_verdicts(spark, sf))
+
+
+@query
+def win_matrix(spark, sf):
+    return rank.win_matrix(rank.usable(_verdicts(spark, sf))).select("i", "j", _r("w").alias("w"))
+
+
+@query
+def win_loss_tie(spark, sf):
+    return rank.win_loss_tie(rank.usable(_verdicts(spark, sf)))
+
+
+@query
+def bt_rating_2(spark, sf):
+    """The closed form for every two models on their own."""
+    w = rank.win_matrix(rank.usable(_verdicts(spark, sf))).withColumn("w", F.col("w") + rank.SMOOTHING)
+    back = w.select(F.col("i").alias("j"), F.col("j").alias("i"), F.col("w").alias("v"))
+    p = w.join(back, ["i", "j"]).withColumn("p", F.sqrt(F.col("w") / F.col("v"))).withColumn("pair", F.concat_ws("|", F.least("i", "j"), F.greatest("i", "j")))
+    return p.select("i", "j", _r(text.elo("p", over=Window.partitionBy("pair"))).alias("rating"))
+
+
+@query
+def bt_rating_all(spark, sf):
+    return rank.point_ratings(rank.usable(_verdicts(spark, sf))).select("model", _r("rating").alias("rating"))
+
+
+@query
+def rating_bootstrap_ci(spark, sf):
+    good = _verdicts(spark, sf).withColumn("pos", F.col("line_no"))
+    found = rank.rate(good)
+    return found.select("name", *[_r(c).alias(c) for c in ("rating", "ci_low", "ci_high")], "wins", "losses", "ties", "n")
+
+
+@query
+def percentile_ci(spark, sf):
+    found = rank.interval(_t(spark, sf, "documents").filter("lang is not null").select("lang", F.col("n_chars").cast("double").alias("n")), "lang", "n")
+    return found.select("lang", _r("ci_low").alias("ci_low"), _r("ci_high").alias("ci_high"))
+
+
+def _means(log: DataFrame, *by: str) -> DataFrame:
+    sides = log.select(*by, F.explode(F.array(F.struct(F.col("model_a").alias("m"), F.col("score_a").alias("s")), F.struct(F.col("model_b").alias("m"), (1 - F.col("score_a")).alias("s")))).alias("x"))
+    return sides.groupBy(*by, F.col("x.m").alias("model")).agg(_r(F.avg("x.s"), 9).alias("score"))
+
+
+def _agreeing(spark, sf) -> DataFrame:
+    """(task, model, g, t): mean scores by task in the verdict log against those of the whole panel."""
+    gym = _means(rank.usable(_verdicts(spark, sf)), "task").select("task", "model", F.col("score").alias("g"))
+    truth = _means(rank.usable(_named(_t(spark, sf, "panel")))).select("model", F.col("score").alias("t"))
+    return gym.join(truth, "model")
+
+
+@query
+def agreement_join(spark, sf):
+    return _agreeing(spark, sf)
+
+
+@query
+def spearman(spark, sf):
+    return agreement.spearman_df(_agreeing(spark, sf), ["task"]).select("task", "n", _r("rho").alias("rho"))
+
+
+@query
+def kendall(spark, sf):
+    return agreement.kendall_df(_agreeing(spark, sf), ["task"]).select("task", _r("tau").alias("tau"))
+
+
+@query
+def tau_ap(spark, sf):
+    return agreement.tau_ap_df(_agreeing(spark, sf), ["task"]).select("task", _r("tau_ap").alias("tau_ap"))
+
+
+@query
+def spearman_top10(spark, sf):
+    return agreement.spearman_df(agreement.top_by_truth(_agreeing(spark, sf), ["task"]), ["task"]).select("task", "n", _r("rho").alias("rho"))
+
+
+@query
+def official_score_pick(spark, sf):
+    scores = _means(rank.usable(_verdicts(spark, sf)), "task", "judge").withColumnRenamed("judge", "revision")
+    pinned = scores.groupBy("model").agg(F.min("revision").alias("revision"))
+    return logs.pick_official(scores, pinned)
+
+
+@query
+def truth_assembly(spark, sf):
+    scores = _means(rank.usable(_verdicts(spark, sf)).filter("task = 'OrchardForum'"), "task", "judge").withColumnRenamed("judge", "revision")
+    official = logs.pick_official(scores, scores.groupBy("model").agg(F.min("revision").alias("revision")))
+    models = rank.model_names(_verdicts(spark, sf)).withColumn("revision", F.lit("r1"))
+    return logs.truth_for(models, official, _means(rank.usable(_named(_t(spark, sf, "panel")))))
+
+
+@query
+def leaderboard(spark, sf):
+    scored = _means(rank.usable(_verdicts(spark, sf))).select(F.col("model").alias("name"), F.col("score").alias("rating"))
+    best = rank.leaderboard(scored)
+    return best.select("name", "rating")
+
+
+@query
+def record_explode(spark, sf):
+    stats = rank.win_loss_tie(rank.usable(_verdicts(spark, sf)))
+    row = F.struct("model", F.lit("r1").alias("revision"), "wins", "losses", "ties", F.col("n").cast("long").alias("n"))
+    rows = stats.agg(F.array_sort(F.collect_list(row)).alias("ratings"))  # a record: one row a model
+    head = F.struct(F.lit("mock").alias("judge_model"), F.lit(None).cast("string").alias("generator_model"), F.lit("own").alias("arm"), F.lit(100).cast("long").alias("n_queries"))
+    flat = results.explode_records(rows.select(F.lit("arena").alias("task_name"), head.alias("config"), "ratings"))
+    return flat.drop("generator")
+
+
+@query
+def distinct_files(spark, sf):
+    from rankloom.operators.publish import distinct_files as files
+
+    lists = _t(spark, sf, "verdicts").select(F.array(F.concat(F.lit("queries/"), F.col("query_set"), F.lit(".json")), F.concat_ws("/", F.lit("verdicts"), "task", text.slug("judge"))).alias("files"))
+    return files(lists)
+
+
+# ------------------------------------------------------------ streaming
+
+
+@query
+def windowed_outcomes(spark, sf):
+    return streaming.windowed_outcomes(_t(spark, sf, "verdicts"))
+
+
+@query
+def stream_win_matrix(spark, sf):
+    """The win matrix of a standing state fed by a file stream over the log."""
+    import uuid
+
+    table = _t(spark, sf, "verdicts")
+    base = f"{shared_dir(spark)}/rankloom/stream-{uuid.uuid4().hex}"
+    s = streaming.VerdictStream(spark, f"{sf}/verdicts.parquet", table.schema, f"{base}/state", f"{base}/checkpoint")
+    s.run_available()
+    return s.wins().select("i", "j", _r("w").alias("w"))
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """Which of three lexical retrievers wins on the queries over the corpus, by the mock judge in both
+    orders: rated with a bootstrap over queries."""
+    docs = written(_docs(spark, sf), "docs")
+    asked = written(_asked(spark, sf).filter("text is not null").select("qid", "text", "pos"), "asked")
+    models, tokens = ["bm25", "jaccard", "tfidf"], retrieve.shared_tokens(docs)
+    hits = agreement.union_all([retrieve.predict(docs, asked, m, tokens=tokens) for m in models])
+    lists = written(retrieve.top_k(hits, asked, docs, spark.createDataFrame([(m,) for m in models], "model string"), 10), "ranked")
+    verdicts = judge.judge_all(judge.meetings(lists, judge.model_pairs(spark, models)))
+    return rank.leaderboard(rank.rate(verdicts, bootstrap=200))
