@@ -503,8 +503,9 @@ def stream_win_matrix(spark, sf):
     import uuid
 
     table = _t(spark, sf, "verdicts")
+    # a pattern, as the source takes a single file only by one
     base = f"{shared_dir(spark)}/rankloom/stream-{uuid.uuid4().hex}"
-    s = streaming.VerdictStream(spark, f"{sf}/verdicts.parquet", table.schema, f"{base}/state", f"{base}/checkpoint")
+    s = streaming.VerdictStream(spark, f"{sf}/verdicts.parque[t]", table.schema, f"{base}/state", f"{base}/checkpoint")
     s.run_available()
     return s.wins().select("i", "j", _r("w").alias("w"))
 
