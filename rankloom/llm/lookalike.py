@@ -21,15 +21,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rankloom.runtime import written
+
 # Letters of other scripts that are drawn like a Latin letter, and that letter.
 LOOKALIKES = {
     # Cyrillic capitals
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H",
-    "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ү": "Y", "Һ": "h", "Ӏ": "I",
-    "Ԁ": "d", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W", "Ѵ": "V",
+    "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ү": "Y", "Ӏ": "I",
+    "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W", "Ѵ": "V",
     # Cyrillic small letters
     "а": "a", "с": "c", "е": "e", "һ": "h", "і": "i", "ј": "j", "о": "o", "р": "p", "ѕ": "s",
-    "у": "y", "х": "x", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ѵ": "v", "ү": "y", "ӏ": "l", "ԍ": "G",
+    "у": "y", "х": "x", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ѵ": "v", "ү": "y", "ӏ": "l",
     # Greek capitals
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N",
     "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
@@ -43,8 +45,6 @@ LOOKALIKES = {
     "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O",
     "ꓴ": "U",
 }
-# "Һ", "Ԁ", "ԍ" are listed with the case they are drawn in, not the case they have.
-LOOKALIKES |= {"Һ": "Һ", "Ԁ": "Ԁ", "ԍ": "ԍ"}
 
 # Signs with the format category that are drawn, and ignorable characters without it.
 DRAWN_FORMAT_SCRIPTS = ("ARABIC", "SYRIAC", "KAITHI", "EGYPTIAN")
@@ -84,8 +84,7 @@ def _rules() -> tuple[dict[str, str], frozenset[str], frozenset[str]]:
     for ch in hidden:
         put(ch, "")
     for ch, to in LOOKALIKES.items():
-        if ch != to:
-            put(ch, to)
+        put(ch, to)
     return image, frozenset(hidden), frozenset(marks)
 
 
@@ -190,6 +189,7 @@ def same_look_pairs(df: DataFrame, key: str, text: str, tbl: str) -> DataFrame:
         .withColumn("f", one_form("t"))
         .select("k", "f", F.xxhash64("f").alias("h"), F.xxhash64("t").alias("th"))
     )
+    rows = written(rows, "forms")  # read three times below; the transducer runs once
     mixed = rows.groupBy("h").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).filter("lo <> hi").select("h")
     some = rows.join(mixed, "h")
     a, b = some.alias("a"), some.alias("b")
