@@ -11,7 +11,8 @@ ceil((r + 1) / (q + 1)) parts, of which one has at most q differing words. No pa
 radius is lost; every candidate is then checked exactly.
 
 Sets are banded by size so that each band has its own radius. Equal sets are one class and enter
-once. Buckets that stay large are dealt again by a second, independent family, which is covering
+once. Rows carry 64 parity bits of their set, whose distance never exceeds the
+sets' own, so most pairs of a bucket are dismissed on the spot. Buckets that stay large are dealt again by a second, independent family, which is covering
 as well, so the candidates within the radius stay complete while the bucket falls apart.
 """
 
@@ -32,7 +33,7 @@ SIMILARITY = 0.8
 #: Radius covered by one part's masks; 2 ** (q + 1) - 1 tables a part.
 Q = 2
 #: Buckets with more classes than this are dealt again by a further family.
-HOT_BUCKET = 64
+HOT_BUCKET = 256
 #: Families applied one after the other to buckets that stay hot.
 FAMILIES = 3
 #: Classes of equal word sets with more keys than this are reported as a star around their smallest key.
@@ -89,7 +90,7 @@ def keys_of(words: list[np.ndarray], radius: np.ndarray, group: np.ndarray, fami
     with np.errstate(over="ignore"):
         for v in range(1, 1 << (q + 1)):
             bits = vector & np.uint64(v)
-            odd = (bits ^ (bits >> np.uint64(1)) ^ (bits >> np.uint64(2)) ^ (bits >> np.uint64(3))) & np.uint64(1)
+            odd = np.bitwise_count(bits) & 1
             kept = np.where(odd == 1, value, np.uint64(0))
             run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(kept, dtype=np.uint64)])
             end = np.append(start[1:], len(kept))
@@ -100,9 +101,16 @@ def keys_of(words: list[np.ndarray], radius: np.ndarray, group: np.ndarray, fami
     return (np.concatenate(rows), np.concatenate(out).view(np.int64)) if rows else (np.zeros(0, int), np.zeros(0, np.int64))
 
 
+def _parity(flat: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """64 parity bits a set: every word flips one. Two sets that differ in d words differ in at most d bits."""
+    bit = (_mix(flat, 11) >> np.uint64(58)).astype(np.int64)
+    odd = np.bincount(row * 64 + bit, minlength=n * 64).reshape(n, 64) & 1
+    return (odd.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(1, dtype=np.uint64)
+
+
 def _emit(similarity: float, family: int, hashed: str):
-    """mapInPandas step: (space, cls, words[, bucket, low]) to (bucket, low, space, cls). low: the set
-    is in the lower band of the group."""
+    """mapInPandas step: (cls, words, space hash[, bucket, low]) to one row a set and table. low: the set is in
+    the lower band of the group. A given bucket is dealt again: the new one lies within it."""
     ends = bands(similarity, 1 << 24)
     slack = (1 - similarity) / (1 + similarity)
 
@@ -112,33 +120,87 @@ def _emit(similarity: float, family: int, hashed: str):
                 continue
             words = [np.asarray(w, dtype=np.int64) for w in pdf["words"]]
             n = np.array([len(w) for w in words])
-            space = pdf[hashed].to_numpy(dtype=np.int64)
+            parity = _parity(np.concatenate(words).view(np.uint64), np.repeat(np.arange(len(n)), n), len(n)).view(np.int64)
+            space, cls = pdf[hashed].to_numpy(dtype=np.int64), pdf["cls"].to_numpy()
             own = np.searchsorted(ends, n, side="right") - 1
-            for up in (0, 1):
-                if "low" in pdf:
-                    pick = np.nonzero(pdf["low"].to_numpy() == bool(up))[0]
-                    if not len(pick):
-                        continue
-                else:
-                    pick = np.arange(len(words))
+            for up in (False, True):
+                pick = np.nonzero(pdf["low"].to_numpy() == up)[0] if "low" in pdf else np.arange(len(words))
+                if not len(pick):
+                    continue
                 top = own[pick] + up
                 largest = np.array([ends[t + 1] - 1 for t in top])
                 # one radius a group, so that all its sets share their tables
                 radius = np.floor(2 * largest * slack + 1e-9).astype(np.int64)
-                with np.errstate(over="ignore"):
-                    group = _mix(space[pick], 1) ^ _mix(top.astype(np.uint64), 2)
+                group = _mix(space[pick], 1) ^ _mix(top.astype(np.uint64), 2)
                 row, bucket = keys_of([words[i] for i in pick], radius, group, family)
                 at = pick[row]
-                out = {"bucket": bucket, "low": np.full(len(row), bool(up)), "cls": pdf["cls"].to_numpy()[at], "words_n": n[at].astype(np.int32)}
-                if "low" in pdf:
-                    with np.errstate(over="ignore"):
-                        out["bucket"] = _mix(bucket ^ pdf["bucket"].to_numpy(dtype=np.int64)[at], 3).view(np.int64)
-                yield pd.DataFrame(out)
+                if "bucket" in pdf:
+                    bucket = _mix(bucket ^ pdf["bucket"].to_numpy(dtype=np.int64)[at], 3).view(np.int64)
+                yield pd.DataFrame({"bucket": bucket, "low": np.full(len(row), up), "cls": cls[at], "size": n[at].astype(np.int32), "parity": parity[at]})
 
     return run
 
 
-_EMITTED = "bucket long, low boolean, cls long, words_n int"
+_EMITTED = "bucket long, low boolean, cls long, size int, parity long"
+_MATCHED = "bucket long, low boolean, a long, b long"
+
+
+def _match(similarity: float, hot: int | None):
+    """mapInPandas step over rows sorted by bucket: pairs (a, b) of each bucket that sizes and parities allow;
+    rows of buckets with more than `hot` sets are passed on as (bucket, low, a, null). At most one bucket of
+    `hot` rows is carried from batch to batch."""
+    slack = (1 - similarity) / (1 + similarity)
+
+    def pairs(x: dict) -> pd.DataFrame:
+        i, d, found_a, found_b = np.arange(len(x["bucket"]) - 1), 1, [], []
+        while len(i := i[i + d < len(x["bucket"])]):
+            i = i[x["bucket"][i] == x["bucket"][i + d]]
+            j = i + d
+            small_, large = np.minimum(x["size"][i], x["size"][j]), np.maximum(x["size"][i], x["size"][j])
+            far = np.bitwise_count((x["parity"][i] ^ x["parity"][j]).view(np.uint64))
+            good = (small_ + 1e-9 >= similarity * large) & (far <= (small_ + large) * slack + 1e-9) & ~(x["low"][i] & x["low"][j]) & (x["cls"][i] != x["cls"][j])
+            found_a.append(np.minimum(x["cls"][i[good]], x["cls"][j[good]]))
+            found_b.append(np.maximum(x["cls"][i[good]], x["cls"][j[good]]))
+            d += 1
+        a = np.concatenate(found_a) if found_a else np.zeros(0, np.int64)
+        both = np.unique(np.stack([a, np.concatenate(found_b) if found_b else a], 1), axis=0)
+        return pd.DataFrame({"bucket": np.zeros(len(both), np.int64), "low": np.zeros(len(both), bool), "a": both[:, 0], "b": pd.array(both[:, 1], dtype="Int64")})
+
+    def passed(x: dict, keep: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"bucket": x["bucket"][keep], "low": x["low"][keep], "a": x["cls"][keep], "b": pd.array([None] * int(keep.sum()), dtype="Int64")})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: dict | None = None
+        crowded: int | None = None  # the bucket being passed on
+        for pdf in batches:
+            x = {c: pdf[c].to_numpy() for c in ("bucket", "low", "cls", "size", "parity")}
+            if crowded is not None:
+                more = x["bucket"] == crowded
+                if more.any():
+                    yield passed(x, more)
+                    x = {c: v[~more] for c, v in x.items()}
+            if not len(x["bucket"]):
+                continue
+            crowded = None
+            if rest is not None:
+                x = {c: np.concatenate([rest[c], v]) for c, v in x.items()}
+            head = np.concatenate([[True], x["bucket"][1:] != x["bucket"][:-1]])
+            size = np.diff(np.append(np.nonzero(head)[0], len(head)))
+            of = np.repeat(size, size)
+            wide = of > hot if hot is not None else np.zeros(len(of), bool)
+            last = x["bucket"] == x["bucket"][-1]
+            if wide.any():
+                yield passed(x, wide)
+                if wide[-1]:
+                    crowded = x["bucket"][-1]
+            done = ~wide & ~last & (of > 1)
+            if done.any():
+                yield pairs({c: v[done] for c, v in x.items()})
+            rest = {c: v[last] for c, v in x.items()} if crowded is None else None
+        if rest is not None:
+            yield pairs(rest)
+
+    return run
 
 
 def word_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -156,31 +218,22 @@ def word_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def candidates(classes: DataFrame, similarity: float = SIMILARITY, hot: int = HOT_BUCKET) -> DataFrame:
-    """Pairs (a, b) of classes, a < b, that share a bucket of the covering family; a superset of the
-    pairs within the similarity. Repeated across tables."""
+    """Pairs (a, b) of classes, a < b, that share a bucket of the covering family and whose sizes and parity
+    bits do not rule the similarity out; a superset of the pairs within it. Repeated across tables. Rows are
+    shuffled once a family, by bucket."""
     base = classes.select("cls", "words", F.xxhash64("space").alias("space_h"))
-    emitted = base.mapInPandas(_emit(similarity, 0, "space_h"), _EMITTED)
-    found: DataFrame | None = None
+    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    emitted, found = base.mapInPandas(_emit(similarity, 0, "space_h"), _EMITTED), None
     for family in range(FAMILIES + 1):
-        table = Written(emitted, "near-buckets").df
-        sizes = table.groupBy("bucket").agg(F.count("*").alias("m"), F.min("low").alias("all_low")).filter("m > 1 and not all_low")
         last = family == FAMILIES
-        cold = table.join(sizes if last else sizes.filter(F.col("m") <= hot), "bucket").select("bucket", "low", "cls", "words_n")
-        a, b = cold.alias("a"), cold.alias("b")
-        near = (F.least("a.words_n", "b.words_n") + 1e-9) >= similarity * F.greatest("a.words_n", "b.words_n")
-        pairs = (
-            a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.cls") < F.col("b.cls")))
-            .filter(~(F.col("a.low") & F.col("b.low")) & near)
-            .select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b"))
-        )
+        sorted_ = emitted.repartition(n, "bucket").sortWithinPartitions("bucket")
+        table = Written(sorted_.mapInPandas(_match(similarity, None if last else hot), _MATCHED), "near-matches").df
+        pairs = table.filter("b is not null").select("a", "b")
         found = pairs if found is None else found.unionByName(pairs)
-        if last:
-            break
-        big = sizes.filter(F.col("m") > hot).select("bucket")
-        if big.isEmpty():
+        again = table.filter("b is null").select("bucket", "low", F.col("a").alias("cls"))
+        if last or again.isEmpty():
             break
-        again = table.join(big, "bucket").select("bucket", "low", "cls").join(base, "cls")
-        emitted = again.mapInPandas(_emit(similarity, family + 1, "space_h"), _EMITTED)
+        emitted = again.join(base, "cls").mapInPandas(_emit(similarity, family + 1, "space_h"), _EMITTED)
     return found
 
 
