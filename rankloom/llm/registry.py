@@ -110,6 +110,31 @@ def queries() -> dict:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit() and callable(f)}
 
 
+_NAME = lambda c: rf"regexp_replace({c}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+_SAID = lambda c: rf"""(CASE regexp_replace(lower(regexp_replace({_NAME(c)}, '\.+$', '')), '^system ', '') WHEN 'a' THEN 1.0 WHEN 'tie' THEN 0.5 WHEN 'b' THEN 0.0 END)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL of the queries it can express on whole tables."""
-    return {}
+    """SQL of the queries it can express on whole tables. The others are tested against brute force."""
+    return {
+        "p2_agreement": f"""WITH l AS (SELECT line_no, qid, judge, {_NAME("model_a")} AS a, {_NAME("model_b")} AS b, coalesce(score_a, ({_SAID("raw[1]")} + 1 - {_SAID("raw[2]")}) / 2) AS s FROM panel
+  WHERE coalesce(list_bool_and(list_transform(parsed_ok, lambda x: coalesce(x, false))), true)),
+  t AS (SELECT qid, judge, least(a, b) AS lo, greatest(a, b) AS hi, CASE WHEN a < b THEN s ELSE 1 - s END AS s, line_no FROM l WHERE a <> b AND s IS NOT NULL),
+  v AS (SELECT qid, lo, hi, arg_max(s, line_no) AS s FROM t GROUP BY qid, lo, hi, judge),
+  c AS (SELECT count(*) AS m, count(*) FILTER (s > 0.5) AS n0, count(*) FILTER (s < 0.5) AS n1, count(*) FILTER (s = 0.5) AS n2 FROM v GROUP BY qid, lo, hi HAVING count(*) > 1),
+  x AS (SELECT count(*) AS n_items, CAST(sum(m) AS BIGINT) AS n_votes, sum((m * m - n0 * n0 - n1 * n1 - n2 * n2) / (m - 1)) AS apart, CAST(sum(n0) AS DOUBLE) AS t0, CAST(sum(n1) AS DOUBLE) AS t1, CAST(sum(n2) AS DOUBLE) AS t2 FROM c),
+  y AS (SELECT n_items, n_votes, apart / n_votes AS o, (CAST(n_votes AS DOUBLE) * n_votes - t0 * t0 - t1 * t1 - t2 * t2) / (CAST(n_votes AS DOUBLE) * (n_votes - 1)) AS e FROM x)
+  SELECT n_items, n_votes, round(o, 9) AS observed, round(e, 9) AS expected, round(1 - o / e, 9) AS alpha FROM y""",
+        "p3_found": """WITH e AS (SELECT model, qid, unnest(doc_ids) AS doc_id, unnest(scores) AS score FROM ranked),
+  b AS (SELECT model, qid, doc_id, max(score) AS score FROM e WHERE doc_id IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) GROUP BY model, qid, doc_id),
+  r AS (SELECT model, qid, CAST(row_number() OVER (PARTITION BY model, qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank_no, doc_id FROM b) SELECT * FROM r WHERE rank_no <= 10""",
+        "p6_found": r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark WHERE text IS NOT NULL),
+  dw AS (SELECT doc_id, array_to_string(w[p:p + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS p FROM d WHERE len(w) >= 12)),
+  iw AS (SELECT item_id, array_to_string(w[p:p + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS p FROM i WHERE len(w) >= 12))
+  SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g)""",
+        "p8_found": """WITH p AS (SELECT doc_id, text, unnest(range(0, length(text) - 299)) AS s FROM documents WHERE length(text) >= 300),
+  w AS (SELECT doc_id, s, hash(substr(text, s + 1, 300)) AS h, md5_number(substr(text, s + 1, 300)) AS h2 FROM p),
+  k AS (SELECT h, h2 FROM w GROUP BY h, h2 HAVING min(doc_id) < max(doc_id)), g AS (SELECT doc_id, s FROM w JOIN k USING (h, h2)),
+  m AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 300 THEN 0 ELSE 1 END AS new FROM g),
+  r AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM m) SELECT doc_id, min(s) AS span_start, max(s) + 300 AS span_end FROM r GROUP BY doc_id, run""",
+    }
