@@ -6,8 +6,10 @@ import hashlib
 from dataclasses import dataclass, field
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankloom.functions.text import title_text
 
@@ -111,14 +113,9 @@ def _quoted(text: str) -> str:
     return "\\Q" + text + "\\E"
 
 
-def _utf8(name: str):
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def decoded(content: pd.Series) -> pd.Series:
-        return content.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
-    return decoded(F.col(name))
+@F.pandas_udf(T.StringType())
+def _utf8(content: pd.Series) -> pd.Series:
+    return content.map(lambda b: bytes(b).decode("utf-8", "ignore"))
 
 
 def content_digest(docs: DataFrame) -> str:
