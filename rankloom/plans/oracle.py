@@ -207,6 +207,19 @@ SQL: dict[str, str] = {
     "windowed_outcomes": "SELECT date_trunc('day', judged_at)::TIMESTAMP AS day, judge, count(*) AS n, count(*) FILTER (score_a = 0.5) AS ties, count(*) FILTER (list_bool_or(list_transform(parsed_ok, lambda x: NOT x))) AS failed FROM verdicts GROUP BY 1, 2",
     "stream_win_matrix": f"""WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_set, qid, judge, model_a, model_b ORDER BY line_no DESC) AS r FROM verdicts) WHERE r = 1), v AS (SELECT * FROM l WHERE {_OK}), {_WINS} SELECT i, j, round(w, 6) AS w FROM wins""",
 }
+# One recursion step is one model's update; the sweep ends with the last model, where strengths are scaled.
+SQL["bt_rating_all"] = f"""WITH RECURSIVE {_USABLE}, {_WINS}, names AS (SELECT model, row_number() OVER (ORDER BY model) AS i FROM (SELECT DISTINCT i AS model FROM wins)),
+  full_w AS (SELECT a.i, b.i AS j, coalesce(w, 0) + 0.1 AS w FROM names a JOIN names b ON a.i <> b.i LEFT JOIN wins ON wins.i = a.model AND wins.j = b.model),
+  cells AS (SELECT a.i, b.i AS j, coalesce(x.w, 0) AS w, coalesce(x.w, 0) + coalesce(y.w, 0) AS g FROM names a CROSS JOIN names b LEFT JOIN full_w x ON x.i = a.i AND x.j = b.i LEFT JOIN full_w y ON y.i = b.i AND y.j = a.i),
+  per AS (SELECT i, sum(w) AS won, list(g ORDER BY j) AS met FROM cells GROUP BY i), c AS (SELECT count(*) AS n, list(won ORDER BY i) AS won, list(met ORDER BY i) AS met FROM per),
+  s AS (SELECT 0 AS k, list_transform(won, lambda x: 1.0::DOUBLE) AS p, list_transform(won, lambda x: 1.0::DOUBLE) AS old, false AS done FROM c
+    UNION ALL SELECT k + 1, q, CASE WHEN i = n THEN q ELSE old END, i = n AND list_max(list_transform(q, lambda x, j: abs(x - old[j]))) < 1e-9 FROM (
+      SELECT k, n, i, old, CASE WHEN i = n THEN list_transform(u, lambda x: x / exp(list_avg(list_transform(u, lambda y: ln(greatest(y, 1e-12)))))) ELSE u END AS q FROM (
+        SELECT k, n, i, old, list_transform(p, lambda x, j: CASE WHEN j = i THEN won[i] / load ELSE x END) AS u FROM (
+          SELECT s.k, c.n, s.k % c.n + 1 AS i, s.p, s.old, c.won, list_sum(list_transform(s.p, lambda y, l: CASE WHEN l = s.k % c.n + 1 THEN 0 ELSE c.met[s.k % c.n + 1][l] / (s.p[s.k % c.n + 1] + y) END)) AS load
+          FROM s CROSS JOIN c WHERE NOT s.done AND s.k < 200 * c.n)))),
+  last AS (SELECT arg_max(p, k) AS p FROM s), r AS (SELECT model, 400 * log10(greatest(p[i], 1e-12)) AS r FROM names CROSS JOIN last)
+  SELECT model, round(r - avg(r) OVER () + 1000, 6) AS rating FROM r"""
 _WLT = SQL["win_loss_tie"]
 SQL["record_explode"] = f"SELECT 'arena' AS task, 'mock' AS judge, 'own' AS arm, CAST(100 AS BIGINT) AS n_queries, model, 'r1' AS revision, wins, losses, ties, CAST(n AS BIGINT) AS n FROM ({_WLT})"
 
