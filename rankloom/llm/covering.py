@@ -111,7 +111,7 @@ def _parity(flat: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
 def _emit(similarity: float, family: int, hashed: str):
     """mapInPandas step: (cls, words, space hash[, bucket, low]) to one row a set and table. low: the set is in
     the lower band of the group. A given bucket is dealt again: the new one lies within it."""
-    ends = bands(similarity, 1 << 24)
+    ends = bands(similarity)
     slack = (1 - similarity) / (1 + similarity)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

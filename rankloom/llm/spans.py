@@ -34,7 +34,7 @@ LENGTH = 300
 SUB = 100
 DEPTH = 3
 #: Counters in a row of the sketch, as a power of two: the least and the most.
-LEAST_BITS, MOST_BITS = 20, 29
+LEAST_BITS, MOST_BITS = 20, 28
 BLOCK = 1 << 16
 #: Sub-windows with more stretches than this are counted as rows.
 HOT = 20_000
@@ -141,31 +141,47 @@ def _slots(value: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(_mix(value, 0xA5A5 + 977 * d) >> np.uint64(64 - bits)).astype(np.int64) for d in range(DEPTH)]
 
 
+def _added(slots: np.ndarray, counts: np.ndarray, more: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted slots with counts saturated at two, after `more` slots."""
+    every = np.concatenate([slots, *more])
+    weight = np.concatenate([counts, *[np.ones(len(x), np.uint8) for x in more]])
+    order = np.argsort(every, kind="stable")
+    every, weight = every[order], weight[order]
+    head = np.nonzero(np.concatenate([[True], every[1:] != every[:-1]]))[0] if len(every) else np.zeros(0, np.int64)
+    total = np.add.reduceat(weight.astype(np.int64), head) if len(head) else np.zeros(0, np.int64)
+    return every[head], np.minimum(total, 2).astype(np.uint8)
+
+
 def _sketch(length: int, sub: int, bits: int):
-    """mapInPandas step: texts to the blocks of this task's sketch, as two bit planes."""
+    """mapInPandas step: texts to the blocks of this task's sketch, as two bit planes. The task holds its own
+    counters only, not the whole width."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        once = [np.zeros(1 << bits, dtype=bool) for _ in range(DEPTH)]
-        twice = [np.zeros(1 << bits, dtype=bool) for _ in range(DEPTH)]
+        have = [(np.zeros(0, np.int64), np.zeros(0, np.uint8)) for _ in range(DEPTH)]
+        waiting: list[list[np.ndarray]] = [[] for _ in range(DEPTH)]
+        size = 0
         for pdf in batches:
-            texts = pdf["text"].tolist()
-            text, _, _, value = stretches(texts, length, sub)
+            text, _, _, value = stretches(pdf["text"].tolist(), length, sub)
             if not len(value):
                 continue
             order = np.lexsort((value, text))
             new = np.ones(len(order), dtype=bool)  # a record counts once for a sub-window
             new[1:] = (value[order][1:] != value[order][:-1]) | (text[order][1:] != text[order][:-1])
             for d, slot in enumerate(_slots(value[order][new], bits)):
-                slot, count = np.unique(slot, return_counts=True)
-                twice[d][slot[(count > 1) | once[d][slot]]] = True
-                once[d][slot] = True
+                waiting[d].append(slot)
+            size += int(new.sum())
+            if size > 1 << 20:
+                have = [_added(*h, w) for h, w in zip(have, waiting)]
+                waiting, size = [[] for _ in range(DEPTH)], 0
         block = min(BLOCK, 1 << bits)
-        for d in range(DEPTH):
-            for b in range((1 << bits) // block):
-                part = once[d][b * block : (b + 1) * block]
-                if part.any():
-                    planes = np.packbits(part).tobytes() + np.packbits(twice[d][b * block : (b + 1) * block]).tobytes()
-                    yield pd.DataFrame({"row": [d], "block": [b], "planes": [zlib.compress(planes, 1)]})
+        for d, (slots, counts) in enumerate(_added(*h, w) for h, w in zip(have, waiting)):
+            edges = np.nonzero(np.concatenate([[True], slots[1:] // block != slots[:-1] // block]))[0] if len(slots) else []
+            for a, z in zip(edges, [*edges[1:], len(slots)]):
+                planes = np.zeros((2, block), dtype=bool)
+                at = slots[a:z] % block
+                planes[0, at] = True
+                planes[1, at] = counts[a:z] > 1
+                yield pd.DataFrame({"row": [d], "block": [int(slots[a] // block)], "planes": [zlib.compress(np.packbits(planes, axis=1).tobytes(), 1)]})
 
     return run
 
@@ -311,7 +327,7 @@ def _as_rows(length: int):
 def sketch_bits(df: DataFrame) -> int:
     """Counters in a row of the sketch, from the size Spark estimates for the input's files."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return int(min(MOST_BITS, max(LEAST_BITS, (size // 8).bit_length())))
+    return int(min(MOST_BITS, max(LEAST_BITS, (size // 16).bit_length())))
 
 
 def merge_spans(spans: DataFrame) -> DataFrame:
