@@ -39,7 +39,7 @@ def _asked(spark, sf) -> DataFrame:
     rows = _t(spark, sf, "queries").filter("qid is not null")
     last = F.max_by(F.struct("text", "seed_doc_ids", "quality"), F.struct("created_at", "text"))
     one = rows.groupBy("qid").agg(last.alias("r")).select("qid", "r.*")
-    return one.withColumn("pos", F.substring("qid", 2, 20).cast("long"))
+    return one.withColumn("pos", F.substring("qid", 2, 20).try_cast("long"))
 
 
 def _search(spark, sf) -> DataFrame:

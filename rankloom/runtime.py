@@ -95,3 +95,9 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether `df` has at most `rows` rows, found by reading no more than that many."""
     return df.limit(rows + 1).count() <= rows
+
+
+def release() -> None:
+    """Delete every table `written` so far. Only when no DataFrame built on them is read any more; it also
+    happens when the interpreter ends."""
+    _remove_written()

@@ -141,7 +141,7 @@ def test_correlate_document():
     gym = {m: float(i) for i, m in enumerate(names)}
     got = A.correlate(gym, gym | {"other": 1.0}, bootstrap=50)
     assert got["n_models"] == 25 and got["spearman_rho"] == pytest.approx(1) and got["spearman_top10"] == pytest.approx(1) and got["kendall_ap"] == 1
-    assert got["gym_ranking"] == names[::-1] and got["spearman_ci95"][0] == pytest.approx(1)
+    assert got["own_ranking"] == names[::-1] and got["spearman_ci95"][0] == pytest.approx(1)
     assert A.correlate({"a": 1.0, "b": 2.0}, gym)["error"].startswith("need >=3")
     five = dict(zip("abcde", [1.0, 2, 3, 4, 5]))
     assert A.correlate(five, five)["spearman_top10"] is None
