@@ -18,7 +18,7 @@ from rankloom.operators import metrics, rank, retrieve
 from rankloom.operators.generate import QuerySet, Settings, resolve_queries
 from rankloom.operators.results import Result, build_record, diagnostics
 from rankloom.operators.sampling import pair_subset
-from rankloom.runtime import written
+from rankloom.runtime import ship, written
 from rankloom.sources import corpus as corpora
 from rankloom.sources.logs import append_verdicts, latest, read_verdict_log
 
@@ -54,6 +54,7 @@ def predict(
     """One model's hits. Generated queries need the generator that a later run will use, as it is part of
     their name."""
     del batch_size  # lexical retrieval is not batched
+    ship(spark)
     if isinstance(queries, str) and queries == "synthetic" and generator is None:
         raise ValueError("predict() needs the generator that run() will use, as generated queries are named by it; or pass queries=")
     cache = Path(cache_folder) if cache_folder is not None else default_cache()
@@ -94,6 +95,7 @@ def run(
     corpus: a folder of .txt and .md files, a .jsonl, a task name of `tasks`, or a Corpus. models: names of
     registered retrievers. queries: "synthetic", "original", a file, or a list of texts."""
     del batch_size
+    ship(spark)
     started, models = time.time(), list(models)
     if not models:
         raise ValueError("no models given")

@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,7 +33,30 @@ def session(master: str | None = None, shuffle_partitions: int = 8, **conf: str)
     settings = DEFAULTS | {"spark.sql.shuffle.partitions": str(shuffle_partitions)} | conf
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make the package importable in Python workers. They inherit PYTHONPATH, and in local mode the working
+    folder; where neither has the package, it is sent to them, once a session."""
+    sc, home = spark.sparkContext, Path(__file__).resolve().parents[1]
+    local = sc.master == "local" or sc.master.startswith("local[")
+    known = os.environ.get("PYTHONPATH", "").split(os.pathsep) + ([os.getcwd()] if local else [])
+    if sc.master.startswith("local") and any(p and Path(p).resolve() == home for p in known):
+        return
+    if sc.applicationId in _shipped:
+        return
+    target = Path(tempfile.mkdtemp(prefix="rankloom-")) / "rankloom.zip"  # read by the driver's file server only
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted((home / "rankloom").rglob("*.py")):
+            z.write(f, f.relative_to(home))
+    sc.addPyFile(str(target))
+    _shipped.add(sc.applicationId)
 
 
 def shared_dir(spark: SparkSession) -> str:
