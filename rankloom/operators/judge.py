@@ -28,7 +28,7 @@ def meetings(ranked: DataFrame, pairs: DataFrame, chosen: DataFrame | None = Non
     roster = F.broadcast(pairs)  # as many rows as the roster has pairs
     a = ranked.select(F.col("model").alias("model_a"), "qid", "query", F.col("doc_ids").alias("ids_a"), F.col("doc_texts").alias("texts_a"), F.col("pos").alias("qpos"))
     b = ranked.select(F.col("model").alias("model_b"), "qid", F.col("doc_ids").alias("ids_b"), F.col("doc_texts").alias("texts_b"))
-    met = a.join(roster, "model_a").join(b, ["qid", "model_b"])
+    met = a.join(b, "qid").join(roster, ["model_a", "model_b"])  # lists are shuffled once, not once a pair
     if chosen is not None:
         met = met.join(chosen, ["qid", "pair"], "left_semi")
     return met.withColumn("pos", F.struct("pair", "qpos")).drop("qpos")

@@ -248,12 +248,11 @@ def precision_at_10(spark, sf):
 
 
 def _meetings(spark, sf) -> DataFrame:
-    """Every two models' lists for the stated query set."""
+    """Every two models' lists for every query with a text."""
     models = _models(spark, sf)
     roster = spark.createDataFrame([(m,) for m in models], "model string")
-    some = _search(spark, sf)
-    hits = _hits(spark, sf).join(F.broadcast(some.select("qid")) if sampling.small(some) else some.select("qid"), "qid", "left_semi")
-    lists = written(retrieve.top_k(hits, some, _docs(spark, sf), roster, 10, strict=False), "ranked")
+    asked = _asked(spark, sf).filter("text is not null")
+    lists = written(retrieve.top_k(_hits(spark, sf), asked, _docs(spark, sf), roster, 10, strict=False), "ranked")
     return judge.meetings(lists, judge.model_pairs(spark, models))
 
 
@@ -292,7 +291,7 @@ def identical_retrieval(spark, sf):
 
 @query
 def judge_prompt(spark, sf):
-    rows = judge.judge_prompts(_meetings(spark, sf), 100)
+    rows = judge.judge_prompts(_meetings(spark, sf))
     return rows.select("pair", "qid", "turn", F.sha2("user", 256).alias("prompt_hash"), F.length("user").alias("n_chars"))
 
 

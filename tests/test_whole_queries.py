@@ -1,0 +1,38 @@
+"""Queries that once ran on a part of their input, against the whole of it."""
+
+from pathlib import Path
+
+import duckdb
+import pytest
+
+from rankloom.plans import oracle, registry
+
+SF = Path("/root/testdata/sf0.001")
+pytestmark = pytest.mark.skipif(not SF.exists(), reason="the driver's tables are not here")
+
+
+@pytest.fixture(scope="module")
+def duck():
+    c = duckdb.connect()
+    c.execute("SET timezone = 'UTC'")
+    for p in SF.iterdir():
+        c.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    return c
+
+
+def same(spark, duck, name, sql):
+    df = registry.queries()[name](spark, str(SF))
+    cols = sorted(df.columns)
+    found = duck.execute(sql)
+    names = [d[0] for d in found.description]
+    assert sorted(names) == cols
+    want = sorted(tuple(str(r[names.index(c)]) for c in cols) for r in found.fetchall())
+    got = sorted(tuple(str(r[c]) for c in cols) for r in df.collect())
+    assert got == want and got
+
+
+@pytest.mark.parametrize("name", ["identical_retrieval", "judge_prompt", "mock_judge_raw", "judged_verdicts"])
+def test_every_query_is_judged(spark, duck, name):
+    whole = registry.oracle_sql()[name].replace("pos % 50 = 0 AND ", "").replace(oracle._prompts(100), oracle._prompts(2000))
+    assert whole != registry.oracle_sql()[name]
+    same(spark, duck, name, whole)
