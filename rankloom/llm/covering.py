@@ -36,8 +36,8 @@ Q = 2
 HOT_BUCKET = 256
 #: Families applied one after the other to buckets that stay hot.
 FAMILIES = 3
-#: Classes of equal word sets with more keys than this are reported as a star around their smallest key.
-EXPAND = 256
+#: Keys a block of a class holds; a task's pairs of two blocks are at most this number squared.
+BLOCK = 1000
 
 # Letters whose capital form looks like another script's capital, for comparisons that ignore case.
 FOLD_FROM = "вкмнтηικμτζ"
@@ -205,14 +205,14 @@ def _match(similarity: float, hot: int | None):
 
 def word_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """rows(space, key, words array<string>) to classes(space, cls, words array<long>, n) and
-    members(space, cls, key). A class is one set of words; rows without words are left out."""
+    members(space, cls, key, stored). A class is one set of words; rows without words are left out."""
     hashed = (
         rows.filter(F.size("words") > 0)
-        .select("space", "key", F.array_sort(F.transform("words", lambda w: F.xxhash64(w))).alias("words"))
-        .select("space", "key", F.xxhash64("space", "words").alias("cls"), "words")
+        .select("space", "key", "stored", F.array_sort(F.transform("words", lambda w: F.xxhash64(w))).alias("words"))
+        .select("space", "key", "stored", F.xxhash64("space", "words").alias("cls"), "words")
     )
     keep = Written(hashed, "near-rows").df
-    members = keep.select("space", "cls", "key").distinct()
+    members = keep.select("space", "cls", "key", "stored").distinct()
     classes = keep.groupBy("cls").agg(F.first("space").alias("space"), F.first("words").alias("words"))
     return classes, members
 
@@ -248,40 +248,46 @@ def class_links(classes: DataFrame, similarity: float = SIMILARITY, hot: int = H
 
 
 def near_rows(df: DataFrame, key: str, text: str, space: str) -> DataFrame:
-    """(space, key, words) of the rows with a key and a text; a key delivered again with the same text
-    counts once."""
+    """(space, key, stored, words) of the rows with a key and a text, stored being a hash of the text as it is; a
+    key delivered again with the same text counts once."""
     rows = df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("t")).filter(F.col("key").isNotNull() & F.col("t").isNotNull()).distinct()
-    return rows.select(F.lit(space).alias("space"), "key", words_of(one_form("t")).alias("words"))
+    return rows.select(F.lit(space).alias("space"), "key", F.md5("t").alias("stored"), words_of(one_form("t")).alias("words"))
 
 
 def near_duplicates(rows: DataFrame, similarity: float = SIMILARITY, hot: int = HOT_BUCKET) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """rows(space, key, words) to classes, members and links between classes (a, b)."""
+    """rows(space, key, stored, words) to classes, members and links between classes (a, b)."""
     classes, members = word_classes(rows)
     classes = written(classes, "near-classes")
     return classes, members, written(class_links(classes, similarity, hot), "near-links")
 
 
-def near_pairs(rows: DataFrame, similarity: float = SIMILARITY, hot: int = HOT_BUCKET, expand: int = EXPAND) -> DataFrame:
+def near_pairs(rows: DataFrame, similarity: float = SIMILARITY, hot: int = HOT_BUCKET, expand: int | None = None, block: int = BLOCK) -> DataFrame:
     """Pairs of keys (space, key_a, key_b), key_a < key_b, of rows whose word sets reach the similarity.
 
     Null keys, null texts and texts without words give no pair. Equal word sets under different keys
-    are pairs. A class of more than `expand` equal sets is reported as a star: its smallest key with
-    every other one, and its smallest key alone stands for it in links to other classes; no link
-    between different texts is lost.
+    are pairs. All pairs are given, unless `expand` is: then more than so many keys of exactly the same stored
+    text are a star, their smallest key with every other one, and it alone stands for that text in other pairs.
+    Keys of a class are dealt into blocks of about `block`; a pair of blocks is one key of the join.
     """
     _, members, links = near_duplicates(rows, similarity, hot)
-    sized = members.groupBy("cls").agg(F.count("*").alias("size"), F.min("key").alias("rep"))
-    m = members.join(sized, "cls").withColumn("wide", F.col("size") > expand).filter("size > 0")
-    front = m.filter(~F.col("wide") | (F.col("key") == F.col("rep"))).select("space", "cls", "key")
-    x = front.select("space", F.col("cls").alias("a"), F.col("key").alias("x"))
-    y = front.select(F.col("cls").alias("b"), F.col("key").alias("y"))
-    across = links.join(x, "a").join(y, "b").select("space", "x", "y")
-    twin = m.filter("size > 1")
-    left = twin.filter(~F.col("wide")).select("space", "cls", F.col("key").alias("x"))
-    right = twin.filter(~F.col("wide")).select("cls", F.col("key").alias("y"))
-    inside = left.join(right, "cls").filter("x < y").select("space", "x", "y")
-    star = twin.filter(F.col("wide") & (F.col("key") != F.col("rep"))).select("space", F.col("rep").alias("x"), F.col("key").alias("y"))
-    pairs = across.unionByName(inside).unionByName(star).filter("x <> y")
+    star = None
+    if expand is not None:
+        copies = members.groupBy("cls", "stored").agg(F.count("*").alias("n"), F.min("key").alias("rep")).filter(F.col("n") > expand)
+        m = members.join(copies, ["cls", "stored"], "left")
+        star = m.filter(F.col("key") != F.col("rep")).select("space", F.col("rep").alias("x"), F.col("key").alias("y"))
+        members = m.filter(F.col("rep").isNull() | (F.col("key") == F.col("rep")))
+    keys = members.select("space", "cls", "key").distinct()
+    sized = keys.groupBy("cls").agg(F.count("*").alias("size")).withColumn("n", F.ceil(F.col("size") / block).cast("int"))
+    own = sized.filter("size > 1").select(F.col("cls").alias("a"), F.col("cls").alias("b"))
+    n_a, n_b = sized.select(F.col("cls").alias("a"), F.col("n").alias("n_a")), sized.select(F.col("cls").alias("b"), F.col("n").alias("n_b"))
+    met = links.select("a", "b").unionByName(own).join(n_a, "a").join(n_b, "b")
+    at = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    met = met.withColumn("i", at("n_a")).withColumn("j", at("n_b")).filter("a <> b or i <= j").select("a", "i", "b", "j")
+    dealt = keys.join(sized, "cls").select("space", "cls", F.pmod(F.xxhash64("key"), F.col("n")).cast("int").alias("k"), "key")
+    left = met.join(dealt.select("space", F.col("cls").alias("a"), F.col("k").alias("i"), F.col("key").alias("x")), ["a", "i"])
+    right = met.join(dealt.select(F.col("cls").alias("b"), F.col("k").alias("j"), F.col("key").alias("y")), ["b", "j"])
+    pairs = left.join(right, ["a", "i", "b", "j"]).filter("x <> y and (a <> b or i <> j or x < y)").select("space", "x", "y")
+    pairs = pairs if star is None else pairs.unionByName(star)
     return pairs.select("space", F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
 
 
@@ -316,6 +322,7 @@ def near_groups(rows: DataFrame, similarity: float = SIMILARITY, hot: int = HOT_
     n_links: other classes within the similarity; group_id: the smallest key of the connected group.
     """
     classes, members, links = near_duplicates(rows, similarity, hot)
+    members = members.select("space", "cls", "key").distinct()
     sized = members.groupBy("space", "cls").agg(F.count("*").alias("n_copies"), F.min("key").alias("class_id"))
     ends = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls")))
     degree = ends.groupBy("cls").agg(F.count("*").alias("n_links"))

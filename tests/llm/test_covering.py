@@ -100,3 +100,19 @@ def test_very_long_text(spark):
     text = " ".join(f"w{i}" for i in range(20_000))
     df = spark.createDataFrame([("a", text), ("b", text + " more")], "k string, t string")
     assert len(C.near_pairs(C.near_rows(df, "k", "t", "s")).collect()) == 1
+
+
+@pytest.mark.parametrize("block", [7, 1000])
+def test_large_classes_give_all_pairs(spark, block):
+    rows = [(f"a{i:03}", " ".join(["one two three four"] * (i + 1))) for i in range(300)]
+    rows += [(f"b{i}", "five one two three four" + "!" * i) for i in range(20)]
+    df = spark.createDataFrame(rows, "k string, t string")
+    got = C.near_pairs(C.near_rows(df, "k", "t", "s"), block=block)
+    assert sorted(tuple(r)[1:] for r in got.collect()) == list(combinations(sorted(k for k, _ in rows), 2))
+
+
+def test_only_exact_copies_become_a_star(spark):
+    rows = [(f"k{i}", "same words here today") for i in range(5)] + [(f"m{i}", "today same words here" + "." * i) for i in range(5)]
+    df = spark.createDataFrame(rows, "k string, t string")
+    got = {tuple(r)[1:] for r in C.near_pairs(C.near_rows(df, "k", "t", "s"), expand=3).collect()}
+    assert got == {("k0", f"k{i}") for i in range(1, 5)} | set(combinations(["k0", *[f"m{i}" for i in range(5)]], 2))
