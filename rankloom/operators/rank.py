@@ -10,15 +10,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import elo
-from rankloom.operators.sampling import bootstrap_counts
-from rankloom.runtime import written
+from rankloom.operators.sampling import count_blocks
+from rankloom.runtime import Written, small, written
 
 BASE, SCALE, REPLICATES = 1000.0, 400.0, 1000
 SWEEPS, TOLERANCE, SMOOTHING = 200, 1e-9, 0.1
 #: Models a dense fit may have; its matrix has this number squared.
 MODELS = 2000
-#: Queries whose replicate counts are drawn exactly; beyond it every query draws its own Poisson counts.
-EXACT_QUERIES = 20_000
+#: Bytes of replicate counts that are sent to the tasks at once.
+COUNT_BYTES = 64_000_000
 
 
 def usable(verdicts: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ def _partial(names: list[str], replicates: int, counts, seed: int):
                 np.add.at(cell, (back[some] - c, a[some] * n + b[some]), s[some])
                 np.add.at(cell, (back[some] - c, b[some] * n + a[some]), 1 - s[some])
                 if drawn is not None:
-                    times = drawn[:, unit[c : c + 512]]
+                    times = drawn[:, unit[c : c + 512]].astype(np.float64)
                 else:
                     own = lambda u: np.random.Generator(np.random.Philox(key=[seed, int(u) & (2**63 - 1)]))
                     times = np.stack([own(u).poisson(1.0, replicates) for u in unit[c : c + 512]], 1)
@@ -147,28 +147,50 @@ def _fitted(names: list[str]):
     return run
 
 
-def bootstrap_ratings(verdicts: DataFrame, replicates: int = REPLICATES, seed: int = 0, pos: str = "pos", exact: int = EXACT_QUERIES) -> DataFrame:
+def _numbered(order: DataFrame) -> tuple[DataFrame, int]:
+    """order(qid, first) to (q, unit) and their number: unit is the place by first appearance. Ids stay off the driver."""
+    placed = written(order.orderBy("first", "qid").select(F.col("qid").alias("q"), F.monotonically_increasing_id().alias("m")), "units")
+    part = F.shiftright("m", 33)
+    begin, n = [], 0
+    for p, held in sorted(tuple(r) for r in placed.groupBy(part.alias("p")).agg(F.count("*")).collect()):  # one row a partition
+        begin.append((p, n))
+        n += held
+    starts = order.sparkSession.createDataFrame(begin, "p long, start long")
+    units = placed.join(F.broadcast(starts), part == F.col("p")).select("q", (F.col("start") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))).alias("unit"))
+    return units, n
+
+
+def bootstrap_ratings(verdicts: DataFrame, replicates: int = REPLICATES, seed: int = 0, pos: str = "pos", exact: int | None = None, count_bytes: int = COUNT_BYTES) -> DataFrame:
     """(rep, model, rating) over resampled queries: a query's verdicts are drawn together.
 
-    Up to `exact` queries, the draws are one seeded stream over the queries in order of appearance;
-    beyond it every query draws its own number of uses from a Poisson distribution seeded by its id,
-    which needs no list of all queries anywhere. Each task sums its verdicts to one matrix a replicate
-    before anything is shuffled."""
+    At every size the draws are one seeded stream over the queries in order of appearance, made replicate by
+    replicate and sent to the tasks in blocks of replicates of about `count_bytes`. Only if `exact` is given and
+    there are more queries, every query draws its own number of uses from a Poisson distribution seeded by
+    its id. Each task sums its verdicts to one matrix a replicate before anything is shuffled."""
     spark = verdicts.sparkSession
     names = _names(verdicts)
     order = verdicts.groupBy("qid").agg(F.min(pos).alias("first"))
-    few = order.limit(exact + 1).count()
-    counts = None
-    if few <= exact:
-        qids = [r["qid"] for r in order.orderBy("first", "qid").collect()]
-        number = spark.createDataFrame([(q, k) for k, q in enumerate(qids)], "q string, unit long")
-        rows = verdicts.join(F.broadcast(number), verdicts["qid"].eqNullSafe(F.col("q"))).select("unit", "model_a", "model_b", "score_a")
-        counts = spark.sparkContext.broadcast(bootstrap_counts(len(qids), replicates, seed))
-    else:
-        rows = verdicts.select(F.xxhash64("qid").alias("unit"), "model_a", "model_b", "score_a")
-    partial = rows.mapInPandas(_partial(names, replicates, counts, seed), "rep int, cells array<double>")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return partial.repartition(parts, "rep").mapInPandas(_fitted(names), "rep int, model string, rating double")
+    shape = "rep int, model string, rating double"
+
+    def fitted(rows: DataFrame, counts, n: int) -> DataFrame:
+        partial = rows.mapInPandas(_partial(names, n, counts, seed), "rep int, cells array<double>")
+        return partial.repartition(parts, "rep").mapInPandas(_fitted(names), shape)
+
+    if exact is not None and order.limit(exact + 1).count() > exact:
+        return fitted(verdicts.select(F.xxhash64("qid").alias("unit"), "model_a", "model_b", "score_a"), None, replicates)
+    units, n = _numbered(order)
+    rows = verdicts.join(F.broadcast(units) if small(units) else units, verdicts["qid"].eqNullSafe(F.col("q"))).select("unit", "model_a", "model_b", "score_a")
+    size = max(1, count_bytes // max(1, n))
+    if size >= replicates:
+        return fitted(rows, spark.sparkContext.broadcast(next(count_blocks(n, replicates, seed, replicates))), replicates)
+    rows, done, first = written(rows, "units-verdicts"), None, 0
+    for block in count_blocks(n, replicates, seed, size):
+        sent = spark.sparkContext.broadcast(block)
+        out = Written(fitted(rows, sent, len(block)), "replicates").df.withColumn("rep", F.col("rep") + first)
+        sent.destroy()
+        done, first = out if done is None else done.unionByName(out), first + len(block)
+    return done
 
 
 def interval(draws: DataFrame, by: str = "model", value: str = "rating") -> DataFrame:

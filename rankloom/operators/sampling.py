@@ -4,6 +4,7 @@ sequential; only ids and counts travel."""
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -57,3 +58,16 @@ def bootstrap_counts(n: int, replicates: int, seed: int) -> np.ndarray:
     for r in range(replicates):
         out[r] = np.bincount(rng.integers(0, n, n), minlength=n)
     return out
+
+
+def count_blocks(n: int, replicates: int, seed: int, size: int) -> Iterator[np.ndarray]:
+    """The rows of `bootstrap_counts`, `size` at a time, a byte a count."""
+    rng = np.random.default_rng(seed)
+    for begin in range(0, replicates, size):
+        out = np.zeros((min(size, replicates - begin), n), dtype=np.uint8)
+        for r in range(len(out)):
+            drawn = np.bincount(rng.integers(0, n, n), minlength=n)
+            if n and drawn.max() > 255:
+                raise OverflowError("a count beyond a byte")
+            out[r] = drawn
+        yield out

@@ -9,7 +9,7 @@ import pytest
 from rankloom.operators import agreement as A
 from rankloom.operators import rank as R
 from rankloom.operators import results as res
-from rankloom.operators.sampling import bootstrap_counts
+from rankloom.operators.sampling import bootstrap_counts, count_blocks
 
 SCHEMA = "qid string, model_a string, model_b string, score_a double, parsed_ok array<boolean>, raw array<string>, pos long"
 
@@ -159,3 +159,17 @@ def test_frames_equal_driver_statistics(spark):
         g, t = np.array([r[2] for r in some]), np.array([r[3] for r in some])
         assert rho[k] == pytest.approx(A.spearman(g, t)) and tau[k] == pytest.approx(A.kendall(g, t)) and ap[k] == pytest.approx(A.tau_ap(g, t))
     assert A.top_by_truth(df, ["k"]).count() == 20
+
+
+def test_blocks_of_replicates_are_one_stream_at_every_size(spark):
+    some = spark.createDataFrame(league(n=12, flip=0.3), SCHEMA)
+    whole, parts = ({(r["rep"], r["model"]): r["rating"] for r in R.bootstrap_ratings(some, 20, 3, count_bytes=b).collect()} for b in (10_000, 84))
+    assert whole.keys() == parts.keys() and all(parts[k] == pytest.approx(v, abs=1e-9) for k, v in whole.items())
+    counts = np.concatenate(list(count_blocks(20_001, 3, 0, 2)))
+    assert (counts == bootstrap_counts(20_001, 3, 0)).all()
+    many = spark.range(20_001).selectExpr("concat('q', id) as qid", "'a' as model_a", "'b' as model_b", "cast(id % 3 = 0 as double) as score_a", "id as pos")
+    got = {(r["rep"], r["model"]): r["rating"] for r in R.bootstrap_ratings(many, 3).collect()}
+    won = counts[:, ::3].sum(1, dtype=float)
+    for rep in range(3):
+        want = R.on_elo(R.fit(np.array([[[0, won[rep]], [20_001 - won[rep], 0]]])))[0]
+        assert [got[(rep, m)] for m in "ab"] == pytest.approx(list(want), abs=1e-6)
