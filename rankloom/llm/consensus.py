@@ -14,6 +14,8 @@ third of all votes is pre-aggregated before each shuffle. An iteration is two jo
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ from rankloom.runtime import Written, small
 
 LABELS = ("A", "B", "tie")
 ITERATIONS = 30
-TOLERANCE = 1e-2
+TOLERANCE = 1e-3
 PRIOR_ABILITY, PRIOR_SPREAD = 1.0, 1.0
 
 
@@ -67,13 +69,15 @@ def _logistic(x: Column) -> Column:
 
 def ability_difficulty(votes: DataFrame, patterns: DataFrame, iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame]:
     """Pattern votes and patterns to posteriors(k1, k2, p0, p1, p2, log_easiness) and
-    abilities(judge, ability, n_votes, agreement). Stops when no ability moves by `tolerance`."""
+    abilities(judge, ability, n_votes, agreement). Stops when no ability moves by `tolerance` in two
+    iterations running, and warns where the last iteration comes first."""
     k, n = ["k1", "k2"], len(LABELS)
     weighted = Written(votes.join(patterns, k), "panel-weighted").df
     ability = Written(weighted.groupBy("judge").agg(F.sum("weight").alias("n_votes")).withColumn("ability", F.lit(PRIOR_ABILITY)), "panel-abilities")
     few = small(ability.df)
     state: Written | None = None
     prior = [1.0 / n] * n
+    before = step_now = float("inf")
     for _ in range(iterations):
         seen = ability.df.select(F.col("judge").alias("who"), "ability")
         rows = weighted.join(F.broadcast(seen) if few else seen, weighted["judge"].eqNullSafe(F.col("who"))).drop("who")
@@ -108,14 +112,16 @@ def ability_difficulty(votes: DataFrame, patterns: DataFrame, iterations: int =
             "panel-posteriors",
         )
         own = F.element_at(F.array(*[F.col(f"p{z}") for z in range(n)]), F.col("label") + 1)
-        old_easy = F.exp("b")
-        judged = rows.select(*k, "judge", "label", "weight", "ability", "right").join(state.df.select(*k, "b", *[f"p{z}" for z in range(n)]), k)
+        now_easy = F.exp("moved")
+        now = state.df.select(*k, F.col("log_easiness").alias("moved"), *[f"p{z}" for z in range(n)])
+        judged = rows.select(*k, "judge", "label", "weight", "ability").join(now, k)
+        judged = judged.withColumn("right", F.least(F.greatest(_logistic(F.col("ability") * now_easy), F.lit(1e-9)), F.lit(1 - 1e-9)))
         per = judged.groupBy("judge").agg(
             F.first("ability").alias("ability"),
             F.sum("weight").alias("n_votes"),
             F.sum(F.col("weight") * own).alias("agreed"),
-            F.sum(F.col("weight") * old_easy * (own - F.col("right"))).alias("slope"),
-            F.sum(F.col("weight") * old_easy * old_easy * F.col("right") * (1 - F.col("right"))).alias("curve"),
+            F.sum(F.col("weight") * now_easy * (own - F.col("right"))).alias("slope"),
+            F.sum(F.col("weight") * now_easy * now_easy * F.col("right") * (1 - F.col("right"))).alias("curve"),
         )
         spread = 1 / PRIOR_SPREAD**2
         step = (F.col("slope") - spread * (F.col("ability") - PRIOR_ABILITY)) / (F.col("curve") + spread)
@@ -125,8 +131,11 @@ def ability_difficulty(votes: DataFrame, patterns: DataFrame, iterations: int =
         last.drop()
         if old is not None:
             old.drop()
-        if (moves.get["step"] or 0.0) < tolerance:
+        before, step_now = step_now, moves.get["step"] or 0.0
+        if max(before, step_now) < tolerance:
             break
+    else:
+        warnings.warn(f"abilities still move by {step_now:.2g} after {iterations} iterations", RuntimeWarning, stacklevel=2)
     return state.df, ability.df
 
 

@@ -153,3 +153,20 @@ def test_top_n_limits_groups_before_the_shuffle(spark):
 def test_lists_of_different_length(spark):
     df = spark.createDataFrame([("m", "q", ["a", "b"], [1.0]), ("m", "q", None, [1.0]), ("m", "q", ["c"], None)], "model string, qid string, doc_ids array<string>, scores array<double>")
     assert [tuple(r) for r in T.top_documents(df).collect()] == [("m", "q", 1, "a")]
+
+
+def test_abilities_have_settled_when_the_fit_stops(spark):
+    rng = random.Random(5)
+    skill = {"j1": 0.95, "j2": 0.9, "j3": 0.85, "j4": 0.7, "j5": 0.45}
+    rows = []
+    for q in range(60):
+        z = rng.choice([1.0, 0.0, 0.5])
+        for j, p in skill.items():
+            rows.append(line(len(rows) + 1, f"q{q}", "a", "b", z if rng.random() < p else rng.choice([x for x in (0.0, 0.5, 1.0) if x != z]), judge=j))
+    _, lines = C.votes_of(spark.createDataFrame(rows, LOG))
+    _, patterns, shapes = C.patterns_of(lines)
+    stopped = {r["judge"]: r["ability"] for r in C.ability_difficulty(shapes, patterns)[1].collect()}
+    settled = {r["judge"]: r["ability"] for r in C.ability_difficulty(shapes, patterns, 40, 1e-5)[1].collect()}
+    assert max(abs(stopped[j] - settled[j]) for j in skill) < 2e-3
+    with pytest.warns(RuntimeWarning, match="still move"):
+        C.ability_difficulty(shapes, patterns, 1)
