@@ -1,11 +1,12 @@
 """Problem 5: one form for texts that look the same.
 
 A transducer over grapheme clusters. Its table is computed once, when the module is loaded, from
-four rules: character width, ligatures, blanks and invisible characters, composed accents, and
-look-alike letters. The table is checked for conflicts (two rules disagreeing about one source, or
-an image that is itself a source) before it is compiled into one pattern, which takes the longest
-match: a base character with all marks and invisible characters that follow it. Every text is
-rewritten in one pass from left to right.
+five rules: character width, ligatures and letters written as one sign, blanks and invisible
+characters, composed accents, and look-alike letters. The table is checked for conflicts (two rules
+disagreeing about one source, or an image that is itself a source) before it is compiled into one
+pattern, which takes the longest match: a base character with all marks, conjoining letters and
+invisible characters that follow it. Every text is rewritten in one pass from left to right; a second
+pass changes nothing, and composed and separate writings have one form.
 
 Letter case, punctuation, accents, word order and the number of blanks stay as they are.
 """
@@ -44,6 +45,14 @@ LOOKALIKES = {
     "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R",
     "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O",
     "ꓴ": "U",
+    # Cherokee
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮍ": "Y",
+    "Ꮐ": "G", "Ꮓ": "Z", "Ꮪ": "S", "Ꮩ": "V", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+    # Coptic
+    "Ⲃ": "B", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲧ": "T",
+    "Ⲭ": "X", "Ⲩ": "Y", "Ⲍ": "Z", "ⲟ": "o", "ⲣ": "p", "ⲥ": "c",
+    # small letters that are drawn like each other but like no Latin letter in common use
+    "κ": "к", "ĸ": "к", "ⲕ": "к",
 }
 
 # Signs with the format category that are drawn, and ignorable characters without it.
@@ -51,9 +60,11 @@ DRAWN_FORMAT_SCRIPTS = ("ARABIC", "SYRIAC", "KAITHI", "EGYPTIAN")
 OTHER_IGNORABLE = [0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)]
 
 
-#: Blocks that hold letters, marks, blanks or format characters; Hangul syllables, private use and
-#: surrogates are left out, as no rule has them as a source.
-ASSIGNED = [*range(0x80), *range(0x80, 0x3400), *range(0xA490, 0xAC00), *range(0xF900, 0x10000), *range(0x10000, 0x12000), *range(0x13430, 0x13440), *range(0x1BCA0, 0x1BCA4), *range(0x1D000, 0x1F000), *range(0xE0000, 0xE0200)]
+#: Blocks that hold letters, marks, blanks or format characters; unified ideographs, Hangul syllables, private use
+#: and surrogates are left out, as no rule has them as a source.
+ASSIGNED = [*range(0x3400), *range(0xA490, 0xAC00), *range(0xF900, 0x12000), *range(0x13430, 0x13460), *range(0x16100, 0x17000), *range(0x1BC00, 0x20000), *range(0x2F800, 0x2FA20), *range(0xE0000, 0xE0200)]
+#: Letters that join the one before them: vowels and finals of Hangul, and the voicing marks of half-width kana.
+JOINING = [*range(0x1160, 0x1200), *range(0xD7B0, 0xD800), 0xFF9E, 0xFF9F]
 
 
 def _rules() -> tuple[dict[str, str], frozenset[str], frozenset[str]]:
@@ -79,8 +90,11 @@ def _rules() -> tuple[dict[str, str], frozenset[str], frozenset[str]]:
         parts = unicodedata.decomposition(ch).split()
         if parts and parts[0] in ("<wide>", "<narrow>") and kind[0] != "Z" and ch not in hidden:
             put(ch, "".join(chr(int(x, 16)) for x in parts[1:]))
-        if parts and parts[0] == "<compat>" and "LIGATURE" in unicodedata.name(ch, "") and "ARABIC" not in unicodedata.name(ch):
-            put(ch, unicodedata.normalize("NFKC", ch))
+        name = unicodedata.name(ch, "")
+        if parts and parts[0] == "<compat>" and "ARABIC" not in name and ("LIGATURE" in name or name.startswith(("LATIN", "ROMAN NUMERAL"))):
+            put(ch, unicodedata.normalize("NFKC", ch))  # ligatures, two letters as one sign, long s, numerals of letters
+        if parts and parts[0] == "<font>" and "ARABIC" not in name:
+            put(ch, unicodedata.normalize("NFKC", ch))  # letters and digits of mathematics
     for ch in hidden:
         put(ch, "")
     for ch, to in LOOKALIKES.items():
@@ -94,7 +108,7 @@ _IMAGE, _HIDDEN, _MARKS = _rules()
 def _image(cluster: str) -> str:
     """What the rules make of one cluster: decompose, map every character, compose."""
     flat = unicodedata.normalize("NFD", cluster)
-    for _ in range(2):  # a width or ligature image may be a look-alike, which maps in the second round
+    for _ in range(3):  # the image of one rule may be the source of another, which maps in the next round
         flat = unicodedata.normalize("NFD", "".join(_IMAGE.get(ch, ch) for ch in flat))
     return unicodedata.normalize("NFC", flat)
 
@@ -134,15 +148,24 @@ def _class(chars) -> str:
 
 
 TABLE = _compile()
-_TAIL = _class(_MARKS | _HIDDEN)
+#: Keys a block of a form holds; a task's pairs of two blocks are at most this number squared.
+BLOCK = 1000
+_TAIL = _class(_MARKS | _HIDDEN | set(map(chr, JOINING)))
 _ALONE = _class(k for k in TABLE if len(k) == 1)
 _CLUSTER = re.compile(f"(?s:.){_TAIL}+|{_ALONE}")
 _PLAIN = re.compile(r"[\t\n\r\v\f]")
+#: What a comparison that ignores case adds: small letters whose capitals are one form, (letters, their images).
+FOLD = {c.lower(): to.lower() for c, to in LOOKALIKES.items() if c.isupper() and len(c.lower()) == 1 and c.lower() not in _IMAGE}
+
+
+def folded(form: Column) -> Column:
+    """A text in one form in lower case, letters that look alike as capitals being one letter."""
+    return F.translate(F.lower(form), "".join(FOLD), "".join(FOLD.values()))
 
 
 @lru_cache(maxsize=1 << 16)
 def _step(cluster: str) -> str:
-    """One transition: the table's image of the cluster, or the rules' own for marks it does not list."""
+    """One transition: the table's image of the cluster, or the rules' own for clusters it does not list."""
     return TABLE[cluster] if cluster in TABLE else _image(cluster)
 
 
@@ -164,9 +187,12 @@ def _form_udf(texts: pd.Series) -> pd.Series:
 
 
 def one_form(col: Column | str) -> Column:
-    """The transducer as a column. Texts of plain printable ASCII never leave the JVM."""
+    """The transducer as a column. The Python worker gets the texts with other characters than ASCII; a null
+    stands in for all others, whose blanks are replaced in the JVM."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.when(c.rlike(r"^[ -~]*$"), c).otherwise(_form_udf(c))
+    plain = c.rlike(r"^\p{ASCII}*$")
+    blanks = F.regexp_replace(c, r"\r\n|[\t\n\r\x0B\f]", " ")
+    return F.when(plain, blanks).otherwise(_form_udf(F.when(~plain, c)))
 
 
 def with_form(df: DataFrame, text: str = "text", out: str = "form") -> DataFrame:
@@ -174,28 +200,44 @@ def with_form(df: DataFrame, text: str = "text", out: str = "form") -> DataFrame
     return df.withColumn(out, one_form(text))
 
 
-def same_look_pairs(df: DataFrame, key: str, text: str, tbl: str) -> DataFrame:
+def look_rows(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(k, look, stored) of the rows with a key and a text, each once: 128-bit hashes of the one form and of the
+    text as it is. No text is shuffled."""
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.col("k").isNotNull() & F.col("t").isNotNull())
+    return rows.select("k", F.md5(one_form("t")).alias("look"), F.md5("t").alias("stored")).distinct()
+
+
+def look_classes(rows: DataFrame) -> DataFrame:
+    """(look, n_keys, n_texts, class_id) of forms that occur in two different texts or more; class_id is the
+    smallest key."""
+    per = rows.groupBy("look", "stored").agg(F.count("*").alias("n"), F.min("k").alias("least"))
+    return per.groupBy("look").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_texts"), F.min("least").alias("class_id")).filter("n_texts > 1")
+
+
+def same_look_pairs(df: DataFrame, key: str, text: str, tbl: str, block: int = BLOCK) -> DataFrame:
     """Pairs of different keys whose stored texts differ but have one form: (tbl, key_a, key_b).
 
     Null keys and null texts give no pair; repeated rows count once; a key delivered with several
-    texts is paired by each of them. The form is hashed before the shuffle and compared in full
-    after it. Rows are grouped by form first, so only forms with at least two different texts reach
-    the join, and rows with the very same text are never paired with each other.
+    texts is paired by each of them. Rows with the very same text are never paired with each other. The
+    keys of a form are dealt into blocks of about `block`, and a pair of blocks is one key of the join, so a
+    form that a third of all rows have is spread over many tasks. `same_look_classes` says the same in one row a key.
     """
-    rows = (
-        df.select(F.col(key).alias("k"), F.col(text).alias("t"))
-        .filter(F.col("k").isNotNull() & F.col("t").isNotNull())
-        .distinct()
-        .withColumn("f", one_form("t"))
-        .select("k", "f", F.xxhash64("f").alias("h"), F.xxhash64("t").alias("th"))
-    )
-    rows = written(rows, "forms")  # read three times below; the transducer runs once
-    mixed = rows.groupBy("h").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).filter("lo <> hi").select("h")
-    some = rows.join(mixed, "h")
-    a, b = some.alias("a"), some.alias("b")
-    hit = (F.col("a.h") == F.col("b.h")) & (F.col("a.f") == F.col("b.f"))
-    return (
-        a.join(b, hit & (F.col("a.k") < F.col("b.k")) & (F.col("a.th") != F.col("b.th")))
-        .select(F.lit(tbl).alias("tbl"), F.col("a.k").alias("key_a"), F.col("b.k").alias("key_b"))
-        .distinct()
-    )
+    rows = written(look_rows(df, key, text), "looks")  # read three times below; the transducer runs once
+    many = look_classes(rows).select("look", F.ceil(F.col("n_rows") / block).cast("int").alias("n"))
+    at = lambda low: F.explode(F.sequence(low, F.col("n") - 1))
+    met = many.withColumn("i", at(F.lit(0))).withColumn("j", at(F.col("i"))).select("look", "i", "j")
+    dealt = rows.join(many, "look").select("look", "k", "stored", F.pmod(F.xxhash64("k"), F.col("n")).cast("int").alias("at"))
+    left = met.join(dealt.select("look", F.col("at").alias("i"), F.col("k").alias("x"), F.col("stored").alias("sx")), ["look", "i"])
+    right = dealt.select("look", F.col("at").alias("j"), F.col("k").alias("y"), F.col("stored").alias("sy"))
+    pairs = left.join(right, ["look", "j"]).filter("x <> y and sx <> sy and (i <> j or x < y)")
+    return pairs.select(F.lit(tbl).alias("tbl"), F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
+
+
+def same_look_classes(df: DataFrame, key: str, text: str, tbl: str) -> DataFrame:
+    """One row per key that looks like a row stored otherwise: (tbl, key, class_id, n_keys, n_texts). class_id is
+    the smallest key with that form; a key delivered with texts of several forms has a row for each."""
+    rows = written(look_rows(df, key, text), "looks")
+    keys = rows.select("look", "k").distinct()
+    count = keys.groupBy("look").agg(F.count("*").alias("n_keys"))
+    many = look_classes(rows).join(count, "look").select("look", "class_id", "n_keys", "n_texts")
+    return keys.join(many, "look").select(F.lit(tbl).alias("tbl"), F.col("k").alias("key"), "class_id", "n_keys", "n_texts")

@@ -67,6 +67,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every key that looks like a row stored with other characters, with its class."""
+    return lookalike.same_look_classes(_read(spark, sf_dir, "corpus"), "doc_id", "text", "corpus").unionByName(
+        lookalike.same_look_classes(_read(spark, sf_dir, "queries"), "qid", "text", "queries")
+    )
+
+
 def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The one form of every passage and query, and whether it differs from the stored text."""
     corpus = _read(spark, sf_dir, "corpus").select(F.lit("corpus").alias("tbl"), F.col("doc_id").alias("key"), "text")

@@ -37,6 +37,29 @@ def test_visible_things_stay():
         assert L.form(a) != L.form(b)
 
 
+def test_every_character():
+    """Over all code points: a second pass changes nothing, and all canonical writings have one form."""
+    for cp in [*range(0xD800), *range(0xE000, 0x110000)]:
+        ch = chr(cp)
+        f = L.form(ch)
+        assert L.form(f) == f == L.form(unicodedata.normalize("NFD", ch)) == L.form(unicodedata.normalize("NFC", ch)), hex(cp)
+
+
+@pytest.mark.parametrize("a, b", [("가각", "가각"), ("ｶﾞﾊﾟ", "ガパ"), ("한글", "한글"), ("ᄀ\u200bᅡ", "가"), ("𝐀𝟙", "A1"), ("ǌ", "nj"), ("Ⅻ", "XII"), ("κ", "к"), ("Ꭺ", "A"), ("ſ", "s")])
+def test_same_look(a, b):
+    assert L.form(a) == L.form(b)
+
+
+def test_classes(spark, collect):
+    rows = [("k1", "Apple pie"), ("k2", "Аpple pie"), ("k3", "Apple pie"), ("k5", "apple pie"), ("k6", None), (None, "Apple pie"), ("k2", "Аpple pie")]
+    df = spark.createDataFrame(rows, "k string, t string")
+    assert collect(L.same_look_classes(df, "k", "t", "x")) == [("x", k, "k1", 3, 2) for k in ("k1", "k2", "k3")]
+    many = spark.createDataFrame([(f"k{i:03}", "Аpple" if i % 2 else "Apple") for i in range(40)], "k string, t string")
+    want = [("x", f"k{i:03}", f"k{j:03}") for i in range(40) for j in range(i + 1, 40) if (i + j) % 2]
+    assert collect(L.same_look_pairs(many, "k", "t", "x", block=7)) == want
+    assert collect(L.same_look_classes(df.limit(0), "k", "t", "x")) == []
+
+
 @given(st.text(max_size=40))
 def test_once_is_enough(text):
     once = L.form(text)
