@@ -12,8 +12,10 @@ radius is lost; every candidate is then checked exactly.
 
 Sets are banded by size so that each band has its own radius. Equal sets are one class and enter
 once. Rows carry 64 parity bits of their set, whose distance never exceeds the
-sets' own, so most pairs of a bucket are dismissed on the spot. Buckets that stay large are dealt again by a second, independent family, which is covering
-as well, so the candidates within the radius stay complete while the bucket falls apart.
+sets' own, so most pairs of a bucket are dismissed on the spot. Buckets that stay large are dealt again
+by a second, independent family, which is covering as well, so the candidates within the radius stay
+complete while the bucket falls apart. What is still large after the last family is cut into blocks, and
+every two blocks are compared in a task's bounded share of their own.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.lookalike import one_form
+from rankloom.llm.lookalike import folded, one_form
 from rankloom.runtime import Written, written
 
 SIMILARITY = 0.8
@@ -39,15 +41,11 @@ FAMILIES = 3
 #: Keys a block of a class holds; a task's pairs of two blocks are at most this number squared.
 BLOCK = 1000
 
-# Letters whose capital form looks like another script's capital, for comparisons that ignore case.
-FOLD_FROM = "вкмнтηικμτζ"
-FOLD_TO = "bkmhthikmtz"
-
 
 def words_of(form: Column) -> Column:
     """The distinct words of a text in one form, case ignored: maximal runs of letters and digits.
     Letters that look alike as capitals are one letter, as case is ignored."""
-    return F.array_distinct(F.regexp_extract_all(F.translate(F.lower(form), FOLD_FROM, FOLD_TO), F.lit(r"([\p{L}\p{N}]+)"), 1))
+    return F.array_distinct(F.regexp_extract_all(folded(form), F.lit(r"([\p{L}\p{N}]+)"), 1))
 
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
@@ -142,13 +140,13 @@ def _emit(similarity: float, family: int, hashed: str):
 
 
 _EMITTED = "bucket long, low boolean, cls long, size int, parity long"
-_MATCHED = "bucket long, low boolean, a long, b long"
+_MATCHED = "bucket long, low boolean, a long, b long, size int, parity long"
 
 
 def _match(similarity: float, hot: int | None):
     """mapInPandas step over rows sorted by bucket: pairs (a, b) of each bucket that sizes and parities allow;
-    rows of buckets with more than `hot` sets are passed on as (bucket, low, a, null). At most one bucket of
-    `hot` rows is carried from batch to batch."""
+    rows of buckets with more than `hot` sets are passed on as (bucket, low, a, null, size, parity). At most one
+    bucket of `hot` rows is carried from batch to batch. Without `hot` every bucket is compared."""
     slack = (1 - similarity) / (1 + similarity)
 
     def pairs(x: dict) -> pd.DataFrame:
@@ -164,10 +162,11 @@ def _match(similarity: float, hot: int | None):
             d += 1
         a = np.concatenate(found_a) if found_a else np.zeros(0, np.int64)
         both = np.unique(np.stack([a, np.concatenate(found_b) if found_b else a], 1), axis=0)
-        return pd.DataFrame({"bucket": np.zeros(len(both), np.int64), "low": np.zeros(len(both), bool), "a": both[:, 0], "b": pd.array(both[:, 1], dtype="Int64")})
+        none = np.zeros(len(both), np.int64)
+        return pd.DataFrame({"bucket": none, "low": none > 0, "a": both[:, 0], "b": pd.array(both[:, 1], dtype="Int64"), "size": none.astype(np.int32), "parity": none})
 
     def passed(x: dict, keep: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"bucket": x["bucket"][keep], "low": x["low"][keep], "a": x["cls"][keep], "b": pd.array([None] * int(keep.sum()), dtype="Int64")})
+        return pd.DataFrame({"bucket": x["bucket"][keep], "low": x["low"][keep], "a": x["cls"][keep], "b": pd.array([None] * int(keep.sum()), dtype="Int64"), "size": x["size"][keep], "parity": x["parity"][keep]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: dict | None = None
@@ -217,23 +216,33 @@ def word_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return classes, members
 
 
-def candidates(classes: DataFrame, similarity: float = SIMILARITY, hot: int = HOT_BUCKET) -> DataFrame:
+def _blocks(crowded: DataFrame, hot: int) -> DataFrame:
+    """Rows of buckets that are still large, once for every pair of blocks of about `hot` rows that theirs is in;
+    a pair of blocks is a bucket of its own."""
+    sized = crowded.groupBy("bucket").agg(F.ceil(F.count("*") / hot).cast("int").alias("n"))
+    rows = crowded.join(sized, "bucket").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("n")).cast("int"))
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return met.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "low", "cls", "size", "parity")
+
+
+def candidates(classes: DataFrame, similarity: float = SIMILARITY, hot: int = HOT_BUCKET, families: int = FAMILIES) -> DataFrame:
     """Pairs (a, b) of classes, a < b, that share a bucket of the covering family and whose sizes and parity
     bits do not rule the similarity out; a superset of the pairs within it. Repeated across tables. Rows are
-    shuffled once a family, by bucket."""
+    shuffled once a family, by bucket. A bucket of more than `hot` sets is dealt again by up to `families`
+    further families, then cut into blocks, so no task compares more than a few times `hot` rows at once."""
     base = classes.select("cls", "words", F.xxhash64("space").alias("space_h"))
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    emitted, found = base.mapInPandas(_emit(similarity, 0, "space_h"), _EMITTED), None
-    for family in range(FAMILIES + 1):
-        last = family == FAMILIES
+    emitted, found, cut = base.mapInPandas(_emit(similarity, 0, "space_h"), _EMITTED), None, False
+    for family in range(families + 2):
         sorted_ = emitted.repartition(n, "bucket").sortWithinPartitions("bucket")
-        table = Written(sorted_.mapInPandas(_match(similarity, None if last else hot), _MATCHED), "near-matches").df
+        table = Written(sorted_.mapInPandas(_match(similarity, None if cut else hot), _MATCHED), "near-matches").df
         pairs = table.filter("b is not null").select("a", "b")
         found = pairs if found is None else found.unionByName(pairs)
-        again = table.filter("b is null").select("bucket", "low", F.col("a").alias("cls"))
-        if last or again.isEmpty():
+        crowded = table.filter("b is null").select("bucket", "low", F.col("a").alias("cls"), "size", "parity")
+        if cut or crowded.isEmpty():
             break
-        emitted = again.join(base, "cls").mapInPandas(_emit(similarity, family + 1, "space_h"), _EMITTED)
+        cut = family == families
+        emitted = _blocks(crowded, hot) if cut else crowded.select("bucket", "low", "cls").join(base, "cls").mapInPandas(_emit(similarity, family + 1, "space_h"), _EMITTED)
     return found
 
 
@@ -248,9 +257,9 @@ def class_links(classes: DataFrame, similarity: float = SIMILARITY, hot: int = H
 
 
 def near_rows(df: DataFrame, key: str, text: str, space: str) -> DataFrame:
-    """(space, key, stored, words) of the rows with a key and a text, stored being a hash of the text as it is; a
-    key delivered again with the same text counts once."""
-    rows = df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("t")).filter(F.col("key").isNotNull() & F.col("t").isNotNull()).distinct()
+    """(space, key, stored, words) of the rows with a key and a text, stored being a hash of the text as it is. A
+    key delivered again with the same text is dropped later, by its class, so no text is shuffled."""
+    rows = df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("t")).filter(F.col("key").isNotNull() & F.col("t").isNotNull())
     return rows.select(F.lit(space).alias("space"), "key", F.md5("t").alias("stored"), words_of(one_form("t")).alias("words"))
 
 
@@ -291,9 +300,10 @@ def near_pairs(rows: DataFrame, similarity: float = SIMILARITY, hot: int = HOT_B
     return pairs.select("space", F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
 
 
-def components(nodes: DataFrame, links: DataFrame, rounds: int = 50) -> DataFrame:
+def components(nodes: DataFrame, links: DataFrame, rounds: int = 1000) -> DataFrame:
     """(cls, root): the smallest class id of every connected component, by alternating large-star and
-    small-star steps (Kiveris et al. 2014) on written tables. No link reaches the driver."""
+    small-star steps (Kiveris et al. 2014) on written tables, until nothing changes; about the square of the
+    logarithm of the number of classes. More than `rounds` steps are an error. No link reaches the driver."""
     edges = Written(links.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v").distinct(), "near-edges")
     before = None
     for _ in range(rounds):
@@ -311,6 +321,8 @@ def components(nodes: DataFrame, links: DataFrame, rounds: int = 50) -> DataFram
         if (state["n"], state["s"]) == before:
             break
         before = (state["n"], state["s"])
+    else:
+        raise RuntimeError(f"components not settled after {rounds} rounds")
     root = edges.df.groupBy("u").agg(F.min("v").alias("root"))
     return nodes.select("cls").join(root, nodes["cls"] == root["u"], "left").select("cls", F.coalesce("root", "cls").alias("root"))
 

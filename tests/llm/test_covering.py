@@ -55,6 +55,22 @@ def test_equals_brute_force(spark, hot):
     assert got == {("s", a, b) for a, b in combinations(sorted(sets), 2) if near(sets[a], sets[b])}
 
 
+def test_a_crowded_bucket_is_cut_into_blocks(spark):
+    """Many sets within the radius of each other stay together in every family."""
+    base = [f"w{i}" for i in range(40)]
+    data = [(f"k{i:02}", " ".join(base[:i] + base[i + 1 :] + [f"x{i}"])) for i in range(40)]
+    df = spark.createDataFrame(data, "k string, t string")
+    sets = {k: frozenset(t.split()) for k, t in data}
+    want = {("s", a, b) for a, b in combinations(sorted(sets), 2) if near(sets[a], sets[b])}
+    rows = C.near_rows(df, "k", "t", "s")
+    classes, members = C.word_classes(rows)
+    for families in (0, 1):
+        found = C.candidates(classes, hot=4, families=families).distinct()
+        named = found.join(members.select(C.F.col("cls").alias("a"), C.F.col("key").alias("x")), "a").join(members.select(C.F.col("cls").alias("b"), C.F.col("key").alias("y")), "b")
+        got = {("s", *sorted((r["x"], r["y"]))) for r in named.collect()}
+        assert want <= got and len(want) == 40 * 39 // 2
+
+
 def test_edge_cases(spark):
     rows = [("a", "One two"), ("b", "two, ONE!"), ("c", "Оne twо"), ("d", None), ("e", ""), ("f", "..."), (None, "one two"), ("a", "One two"), ("g", "one two three")]
     df = spark.createDataFrame(rows, "k string, t string")
