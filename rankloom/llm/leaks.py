@@ -1,15 +1,17 @@
 """Problem 6: evaluation texts leaking into training text, by template canonicalisation.
 
 Both sides are read as words, case ignored, and every word becomes a template symbol: numbers, units
-and names become typed placeholders, all other words stand for themselves. What is a name is learnt
-from the held-out items alone (written with a capital inside a sentence, never small), and a document
-word the items do not know is taken for a name, as it can only fill a slot. The symbol depends on
-nothing but the folded word, so equal words always have equal templates and no verbatim leak is lost.
-
-Windows of `width` template symbols are hashed and joined with those of the items; the items are the
-stated query set and go to every task in blocks of a checked size, so the documents are read once a
-block and never shuffled. A joined window is checked slot by slot: the same words throughout are a
-verbatim leak; a one-to-one replacement of slot values is a re-parameterised one.
+and names become typed placeholders, all other words stand for themselves. One lexicon is learnt from
+all held-out items together: a word is a name if it stands with a capital inside a sentence more often
+than in small letters. A document word the items do not know is taken for a name, as it can only fill a
+slot. The symbol depends on nothing but the folded word, so equal words always have equal templates and
+no verbatim leak is lost.
+
+Windows of `width` template symbols are hash-joined with those of the items. Documents are read once: a
+task passes on a window only if a sieve of the items' template hashes has it, which only overestimates,
+so what is joined is a small part of the documents whatever their number. A joined window is checked slot
+by slot: the same words throughout are a verbatim leak; a one-to-one replacement of slot values is a
+re-parameterised one. The result does not depend on how items or documents lie in files or tasks.
 """
 
 from __future__ import annotations
@@ -23,21 +25,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.spans import _mix, _rolling
+from rankloom.runtime import BROADCAST_ROWS, small, written
 
 WIDTH = 12
-#: Items sent to the tasks at a time, and their characters at most.
-BLOCK_ITEMS, BLOCK_CHARS = 20_000, 20_000_000
-#: Joined windows checked at a time.
-PAIRS = 200_000
+#: Different words the items may have; the lexicon goes to every task.
+VOCABULARY = 5_000_000
+#: Slots of the sieve as a power of two: at most this many bits. A fuller sieve lets more windows through.
+SIEVE_BITS = 27
+#: Shares a template's windows are dealt into where the items' windows are too many to be broadcast.
+SALTS = 16
 #: Words of a re-parameterised window that must stand for themselves.
 LITERALS = 6
+#: Characters read at a time.
+CHUNK = 1_000_000
 
 _WORD = re.compile(r"[^\W_]+")
+_TERM = re.compile(r"\d+(?:[.,]\d+)*(?!\w)|[^\W_]+")
 _OPENS = re.compile(r"(?:^|[.!?:\n\r\t|\"“«¿¡])[^\w]*$")
 _GAP, _NUMBER, _UNIT, _NAME, _FIRST = 0, 1, 2, 3, 8
 
 # Units of measure, folded.
-UNITS = frozenset("mm cm m km kg g mg t l ml s ms h min hz khz mhz ghz kb mb gb tb w kw mw v kv a pa hpa bar mol px pt eur usd percent prozent ciento cent".split())
+UNITS = frozenset(
+    "mm cm dm m km µm nm inch ft yd mi kg g mg µg t lb oz l ml cl dl hl gal s ms µs ns sec min h hr hz khz mhz ghz bit byte kb mb gb tb pb kib mib gib w kw mw gw wh kwh v kv mv a ma ah k "
+    "pa kpa hpa bar mbar mol px pt dpi fps rpm ppm db eur usd gbp chf percent prozent ciento cent n kn j kj kcal cal".split()
+)
 
 
 def words(text: str) -> list[str]:
@@ -45,38 +56,30 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def terms(text: str) -> list[str]:
+    """Words, but a number with points or commas inside is one of them."""
+    return _TERM.findall(text.lower())
+
+
+def kind(w: str) -> int:
+    """The placeholder of a word that is a number or a unit wherever it stands, else 0."""
+    return _NUMBER if w.replace(".", "").replace(",", "").isdecimal() else _UNIT if w in UNITS else 0
+
+
 class Lexicon(dict):
     """Folded word -> number; the template symbol of a number is in `symbols`. Words of no item are
-    numbers or names."""
-
-    def __init__(self, texts: list[str]):
-        small, inside = set(), set()
-        for text in texts:
-            for m in _WORD.finditer(text):
-                w = m[0]
-                if w[0].islower():
-                    small.add(w.lower())
-                elif w[0].isupper() and not _OPENS.search(text[max(0, m.start() - 8) : m.start()]):
-                    inside.add(w.lower())
+    numbers, units or names. known: (word, times in small letters, times with a capital inside a sentence)."""
+
+    def __init__(self, known: list[tuple[str, int, int]]):
         super().__init__()
         symbols = list(range(_FIRST))
-        for text in texts:
-            for w in words(text):
-                if w not in self:
-                    dict.__setitem__(self, w, len(symbols))
-                    symbols.append(self.kind(w) or (_NAME if w in inside and w not in small else len(symbols)))
-        for w in UNITS:
-            if w not in self:
-                dict.__setitem__(self, w, len(symbols))
-                symbols.append(_UNIT)
+        for w, low, high in sorted(known):
+            dict.__setitem__(self, w, len(symbols))
+            symbols.append(kind(w) or (_NAME if high > low else len(symbols)))
         self.symbols = np.array(symbols, dtype=np.uint64)
 
-    @staticmethod
-    def kind(w: str) -> int:
-        return _NUMBER if w.isdecimal() else _UNIT if w in UNITS else 0
-
     def __missing__(self, w: str) -> int:
-        return _NUMBER if w.isdecimal() else _NAME
+        return kind(w) or _NAME
 
     def __reduce__(self):
         return (_restore, (dict(self), self.symbols))
@@ -89,22 +92,33 @@ def _restore(known: dict, symbols: np.ndarray) -> Lexicon:
     return out
 
 
-class Items:
-    """Windows of a block of items, sorted by template hash."""
+def _spelt(split):
+    """mapInPandas step: items to (word, times small, times with a capital inside a sentence)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            seen: dict[str, list[int]] = {}
+            for text in pdf["text"]:
+                for w in split(text):
+                    seen.setdefault(w, [0, 0])
+                for m in _WORD.finditer(text):
+                    if m[0][0].islower():
+                        seen.setdefault(m[0].lower(), [0, 0])[0] += 1
+                    elif m[0][0].isupper() and not _OPENS.search(text[max(0, m.start() - 8) : m.start()]):
+                        seen.setdefault(m[0].lower(), [0, 0])[1] += 1
+            if seen:
+                yield pd.DataFrame({"w": list(seen), "low": [x[0] for x in seen.values()], "high": [x[1] for x in seen.values()]})
+
+    return run
+
 
-    def __init__(self, ids: list, texts: list[str], width: int):
-        self.lexicon, self.width, self.ids = Lexicon(texts), width, ids
-        codes, owner = [], []
-        for i, text in enumerate(texts):
-            c = [self.lexicon[w] for w in words(text)]
-            codes += [*c, _GAP]
-            owner += [i] * (len(c) + 1)
-        self.codes, self.owner = np.array(codes or [_GAP], dtype=np.int64), np.array(owner or [0])
-        value, at = windows(self.codes, self.lexicon.symbols, width)
-        order = np.argsort(value, kind="stable")
-        self.value, self.at = value[order], at[order]
-        self.sieve = np.zeros(1 << 20, dtype=bool)
-        self.sieve[(self.value >> np.uint64(44)).astype(np.int64)] = True
+def lexicon(items: DataFrame, split=words) -> Lexicon:
+    """The lexicon of all items; more than VOCABULARY different words are refused."""
+    counts = items.mapInPandas(_spelt(split), "w string, low long, high long").groupBy("w").agg(F.sum("low").alias("low"), F.sum("high").alias("high"))
+    got = counts.limit(VOCABULARY + 1).collect()  # the vocabulary of the stated query set, of a checked size
+    if len(got) > VOCABULARY:
+        raise ValueError(f"the items have more than {VOCABULARY} different words")
+    return Lexicon([(r["w"], r["low"], r["high"]) for r in got])
 
 
 def windows(codes: np.ndarray, symbols: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,65 +131,33 @@ def windows(codes: np.ndarray, symbols: np.ndarray, width: int) -> tuple[np.ndar
     return value[at], at
 
 
-def _joined(items: Items, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(document position, item position) of windows with one template, in bounded portions."""
-    value, at = windows(codes, items.lexicon.symbols, items.width)
-    keep = items.sieve[(value >> np.uint64(44)).astype(np.int64)]
-    value, at = value[keep], at[keep]
-    low, high = np.searchsorted(items.value, value, "left"), np.searchsorted(items.value, value, "right")
-    hit = high > low
-    at, low, n = at[hit], low[hit], (high - low)[hit]
-    begin = 0
-    total = np.cumsum(n)
-    while begin < len(n):
-        done = total[begin - 1] if begin else 0
-        end = max(begin + 1, int(np.searchsorted(total, done + PAIRS, "right")))
-        some = n[begin:end]
-        which = np.repeat(low[begin:end], some) + np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some)
-        yield np.repeat(at[begin:end], some), items.at[which]
-        begin = end
-
-
-def _same(items: Items, codes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether every slot of the window holds the item's own word. Words of no item differ from all."""
-    keep = np.arange(len(a))
-    for k in range(items.width):
-        if not len(keep):
-            break
-        x = codes[a[keep] + k]
-        keep = keep[(x == items.codes[b[keep] + k]) & (x >= _FIRST)]
-    out = np.zeros(len(a), dtype=bool)
-    out[keep] = True
+def _shape(said: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """A hash of which slots of a window have the same value: for each slot, the first one with its value."""
+    n, width = said.shape
+    out = np.zeros(n, dtype=np.uint64)
+    for i in range(width):
+        first = np.full(n, i)
+        for j in range(i - 1, -1, -1):
+            first = np.where(slot[:, i] & slot[:, j] & (said[:, i] == said[:, j]), j, first)
+        out = _mix(out ^ np.where(slot[:, i], first + 1, 0).astype(np.uint64), i)
     return out
 
 
-def _replaced(items: Items, codes: np.ndarray, said: np.ndarray, a: np.ndarray, b: np.ndarray, literals: int) -> np.ndarray:
-    """Whether slot values are replaced one-to-one, at least one of them by another value, and at least
-    `literals` words stand for themselves. said: a number of the document's word, known or not."""
-    span = np.arange(items.width)
-    mine, theirs = items.codes[b[:, None] + span], said[a[:, None] + span]
-    slot = items.lexicon.symbols[mine] < _FIRST
-    good = ((~slot).sum(1) >= literals) & ((mine != theirs) & slot).any(1)
-    for i in range(items.width):
-        for j in range(i):
-            both = slot[:, i] & slot[:, j]
-            good &= ~both | ((mine[:, i] == mine[:, j]) == (theirs[:, i] == theirs[:, j]))
-    return good
-
-
-def _scan(shared, replaced: bool, literals: int):
-    """mapInPandas step: documents to the items they hold, and the number of windows."""
+def _found(shared, sieve, split, width: int, replaced: bool, literals: int, key: str):
+    """mapInPandas step: texts to (template, key, said, shape) of their windows; only those the sieve has, where
+    there is one. said: a number for each word, negative for words of no item. A verbatim window has known words only,
+    a re-parameterised one `literals` words or more that stand for themselves, on both sides."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items: Items = shared.value
-        code, ids = items.lexicon.__getitem__, items.ids
+        known: Lexicon = shared.value
+        code, span = known.__getitem__, np.arange(width)
+        bits = sieve.value if sieve is not None else None
         for pdf in batches:
-            texts, keys = pdf["text"].tolist(), pdf["id"].to_numpy()
-            begin = 0
+            texts, keys, begin = pdf["text"].tolist(), pdf["id"].to_numpy(), 0
             while begin < len(texts):
                 end, codes, first, spoken, size = begin, [], [], [], 0
-                while end < len(texts) and (end == begin or size < 1_000_000):
-                    w = _WORD.findall(texts[end].lower())
+                while end < len(texts) and (end == begin or size < CHUNK):
+                    w = split(texts[end])
                     first.append(len(codes))
                     codes += map(code, w)
                     codes.append(_GAP)
@@ -183,48 +165,76 @@ def _scan(shared, replaced: bool, literals: int):
                         spoken += [*w, ""]
                     size += len(texts[end])
                     end += 1
-                some, starts = np.array(codes, dtype=np.int64), np.array(first)
-                found = []
-                said = None
-                for a, b in _joined(items, some):
+                every, starts = np.array(codes, dtype=np.int64), np.array(first)
+                value, at = windows(every, known.symbols, width)
+                if bits is not None:
+                    hit = _in_sieve(bits, value)
+                    value, at = value[hit], at[hit]
+                if not replaced:
+                    strange = np.cumsum(np.concatenate([[0], every < _FIRST]))
+                    good = strange[at + width] == strange[at]
+                else:
+                    slots = np.cumsum(np.concatenate([[0], known.symbols[every] < _FIRST]))
+                    good = width - (slots[at + width] - slots[at]) >= literals
+                value, at = value[good], at[good]
+                if len(at):
+                    said = every[at[:, None] + span]
+                    shape = np.zeros(len(at), np.uint64)
                     if replaced:
-                        if said is None:
-                            known = len(items.lexicon.symbols)
-                            new: dict[str, int] = {}
-                            said = np.array([c if c >= _FIRST or c == _GAP else known + new.setdefault(w, len(new)) for c, w in zip(codes, spoken)], dtype=np.int64)
-                        good = _replaced(items, some, said, a, b, literals)
-                    else:
-                        good = _same(items, some, a, b)
-                    if good.any():
-                        found.append(np.stack([np.searchsorted(starts, a[good], "right") - 1 + begin, items.owner[b[good]]], 1))
-                if found:
-                    pairs, count = np.unique(np.concatenate(found), axis=0, return_counts=True)
-                    yield pd.DataFrame({"id": keys[pairs[:, 0]], "item": [ids[i] for i in pairs[:, 1]], "n": count})
+                        slot = known.symbols[said] < _FIRST
+                        new: dict[str, int] = {}
+                        places = at[:, None] + span
+                        rows, cols = np.nonzero(said < _FIRST)
+                        said[rows, cols] = [-1 - new.setdefault(spoken[p], len(new)) for p in places[rows, cols].tolist()]
+                        shape = _shape(said, slot)
+                    owner = np.searchsorted(starts, at, "right") - 1 + begin
+                    yield pd.DataFrame({"h": value.view(np.int64), key: keys[owner], "said": list(said.astype(np.int32)), "shape": shape.view(np.int64)})
                 begin = end
 
     return run
 
 
-def _blocks(items: DataFrame) -> int:
-    """How many blocks the items need, each of a bounded number and size."""
-    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("c")).first()
-    return max(1, -(-size["n"] * 2 // BLOCK_ITEMS), -(-size["c"] * 2 // BLOCK_CHARS)) if size["n"] > BLOCK_ITEMS or size["c"] > BLOCK_CHARS else 1
+def _in_sieve(bits: np.ndarray, value: np.ndarray) -> np.ndarray:
+    slot = (value >> np.uint64(64 - (len(bits) * 8).bit_length() + 1)).astype(np.int64)
+    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+
+
+def _slots(bits: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"slots": [np.unique(pdf["h"].to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.uint32).tobytes()]})
+
+    return run
+
+
+def _sieve_of(asked: DataFrame) -> np.ndarray:
+    """A bit for every slot that the template of an item's window falls into."""
+    size = max(20, min(SIEVE_BITS, (asked.count() * 16).bit_length()))
+    bits = np.zeros(1 << size, dtype=bool)
+    for r in asked.select("h").mapInPandas(_slots(size), "slots binary").toLocalIterator():
+        bits[np.frombuffer(r["slots"], np.uint32)] = True
+    return np.packbits(bits, bitorder="little")
 
 
 def _leaks(docs: DataFrame, key: str, items: DataFrame, item: str, text: str, width: int, replaced: bool, literals: int) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).filter(F.col("id").isNotNull() & F.col("text").isNotNull())
-    asked = items.select(F.col(item).alias("item"), F.col(text).alias("text")).filter(F.col("item").isNotNull() & F.col("text").isNotNull()).distinct()
-    out = f"id {rows.schema['id'].dataType.simpleString()}, item {asked.schema['item'].dataType.simpleString()}, n long"
-    n = _blocks(asked)
-    found: DataFrame | None = None
-    for k in range(n):
-        block = asked.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == k) if n > 1 else asked
-        got = block.orderBy("item").collect()  # the stated query set, in blocks of a checked size
-        shared = spark.sparkContext.broadcast(Items([r["item"] for r in got], [r["text"] for r in got], width))
-        part = rows.mapInPandas(_scan(shared, replaced, literals), out)
-        found = part if found is None else found.unionByName(part)
-    return found.groupBy("id", "item").agg(F.sum("n").alias("n_windows")).select(F.col("id").alias(key), F.col("item").alias(item), "n_windows")
+    held = items.select(F.col(item).alias("id"), F.col(text).alias("text")).filter(F.col("id").isNotNull() & F.col("text").isNotNull()).distinct()
+    split = terms if replaced else words
+    shared = spark.sparkContext.broadcast(lexicon(held, split))
+    out = lambda df, name: f"h long, {name} {df.schema['id'].dataType.simpleString()}, said array<int>, shape long"
+    asked = written(held.mapInPandas(_found(shared, None, split, width, replaced, literals, "item"), out(held, "item")), "leak-items")
+    sieve = spark.sparkContext.broadcast(_sieve_of(asked))
+    told = rows.mapInPandas(_found(shared, sieve, split, width, replaced, literals, "id"), out(rows, "id"))
+    theirs = asked.select("h", F.col("shape").alias("own_shape"), F.col("said").alias("own"), "item")
+    if small(theirs, BROADCAST_ROWS):
+        joined = told.join(F.broadcast(theirs), "h")
+    else:
+        salted = theirs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = told.withColumn("salt", F.pmod(F.xxhash64("id", "said"), F.lit(SALTS)).cast("int")).join(salted, ["h", "salt"])
+    same = F.col("said") == F.col("own")
+    good = joined.filter(~same & (F.col("shape") == F.col("own_shape")) if replaced else same)
+    return good.groupBy("id", "item").agg(F.count("*").alias("n_windows")).select(F.col("id").alias(key), F.col("item").alias(item), "n_windows")
 
 
 def verbatim_leaks(docs: DataFrame, key: str, items: DataFrame, item: str, text: str = "text", width: int = WIDTH) -> DataFrame:
@@ -239,6 +249,7 @@ def verbatim_leaks(docs: DataFrame, key: str, items: DataFrame, item: str, text:
 
 
 def reparameterised_leaks(docs: DataFrame, key: str, items: DataFrame, item: str, text: str = "text", width: int = WIDTH, literals: int = LITERALS) -> DataFrame:
-    """(key, item, n_windows): documents that repeat `width` words of an item with numbers, names or units
-    replaced one-to-one. Windows that are verbatim are not counted; other rules as for verbatim leaks."""
+    """(key, item, n_windows): documents that repeat `width` terms of an item with numbers, names or units
+    replaced one-to-one, at least `literals` of them standing for themselves. A number with points or commas
+    inside is one term. Windows that are verbatim are not counted; other rules as for verbatim leaks."""
     return _leaks(docs, key, items, item, text, width, True, literals)

@@ -27,12 +27,44 @@ def test_verbatim_equals_brute_force(spark):
     assert got == {(d, i) for d, t in docs for i, u in items if grams(t) & grams(u)}
 
 
-def test_blocks_give_the_same(spark, monkeypatch):
-    items = spark.createDataFrame([(i, f"one two three four {w} six seven") for i, w in enumerate("abcdefgh")], "item_id int, text string")
+def test_ways_of_joining_give_the_same(spark, monkeypatch):
+    items = spark.createDataFrame([(i, f"one two three four {w} six seven") for i, w in enumerate("abcdefgh")], "item_id int, text string").repartition(5)
     docs = spark.createDataFrame([(1, "x one two three four c six seven y"), (2, "one two three four z six seven")], "doc_id int, text string")
-    monkeypatch.setattr(K, "BLOCK_ITEMS", 2)
-    assert K._blocks(items) > 1
-    assert [tuple(r) for r in K.verbatim_leaks(docs, "doc_id", items, "item_id", width=6).collect()] == [(1, 2, 2)]
+    want = [(1, 2, 2)]
+    assert [tuple(r) for r in K.verbatim_leaks(docs, "doc_id", items, "item_id", width=6).collect()] == want
+    monkeypatch.setattr(K, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(K, "SIEVE_BITS", 20)
+    assert [tuple(r) for r in K.verbatim_leaks(docs, "doc_id", items, "item_id", width=6).collect()] == want
+    monkeypatch.setattr(K, "VOCABULARY", 3)
+    with pytest.raises(ValueError, match="different words"):
+        K.verbatim_leaks(docs, "doc_id", items, "item_id")
+
+
+def test_an_unrelated_item_changes_nothing(spark):
+    """One lexicon of all items, in which a single small spelling does not make a name a literal."""
+    docs = spark.createDataFrame([(1, "In 1972 the engineers of Vienna moved 55 kg of copper to the station near Vienna")], "doc_id int, text string")
+    more = [(100 + i, f"number {i} lies in berlin" if i == 3 else f"the item {i} has other words than the first one does") for i in range(40)]
+    for rows in ([(7, ITEM)], [(7, ITEM), *more]):
+        items = spark.createDataFrame(rows, "item_id int, text string").repartition(7)
+        assert [(r["doc_id"], r["item_id"], r["n_windows"]) for r in K.reparameterised_leaks(docs, "doc_id", items, "item_id").collect()] == [(1, 7, 5)]
+
+
+def test_planted_questions_with_other_values(spark):
+    """Every planted question is found with decimals, names and units replaced, and no other document."""
+    rng = random.Random(5)
+    frames = ["a tank holds {n} {u} of water and {p} pours {m} {u} more into it before noon", "when {p} drove {n} {u} to the lake the meter showed that {m} {u} were still left"]
+    fill = lambda f, names, units: f.format(n=rng.choice(["3.5", "12", "1,200"]), m=rng.choice(["7.25", "40", "9"]), p=rng.choice(names), u=rng.choice(units))
+    items = [(i, fill(f, ["Anna", "Otto"], ["kg", "km"])) for i, f in enumerate(frames)]
+    docs, want = [], set()
+    for d in range(60):
+        if d % 3 == 0:
+            i = rng.randrange(2)
+            docs.append((d, "Before. " + fill(frames[i], ["Mira", "Yusuf"], ["ml", "mi"]) + " After it all was well."))
+            want.add((d, i))
+        else:
+            docs.append((d, " ".join(rng.choice(VOCABULARY) for _ in range(40))))
+    got = K.reparameterised_leaks(spark.createDataFrame(docs, "doc_id int, text string"), "doc_id", spark.createDataFrame(items, "item_id int, text string"), "item_id")
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
 
 
 ITEM = "In 1989 the engineers of Berlin moved 40 kg of copper to the station near Berlin"
