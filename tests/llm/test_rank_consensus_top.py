@@ -41,6 +41,30 @@ def test_strengths_equal_a_dense_solution(spark):
     assert max(abs(got[k] - want[k]) for k in want) < 1e-7
 
 
+def test_a_long_chain_is_solved_to_the_tolerance(spark):
+    """Strengths travel one item an iteration; nothing ends the iterations early, and a limit is an error."""
+    n = 60
+    edges = [(f"m{i:03}", f"m{j:03}", 1000.0, float(j - i) * (1000 if i % 3 else 400)) for i in range(n) for j in (i - 1, i + 1) if 0 <= j < n]
+    edges = [(i, j, g, (1 if i < j else -1) * (1000.0 if min(i, j) > "m030" else 400.0)) for i, j, g, _ in edges]
+    df = spark.createDataFrame(edges, "i string, j string, games double, net double").coalesce(1)
+    want = dense(edges, 0.1)
+    got = S.solve(df)
+    found = {r["item"]: r["strength"] for r in got.strengths.collect()}
+    assert got.residual <= S.TOLERANCE and got.iterations >= n / 2
+    assert max(abs(found[k] - want[k]) for k in want) < 1e-6 * max(map(abs, want.values()))
+    with pytest.raises(ArithmeticError, match="after 7 iterations"):
+        S.solve(df, iterations=7)
+
+
+def test_a_hub_is_dealt_into_shares(spark):
+    rng = random.Random(4)
+    games = [("hub", f"m{i:02}", rng.choice([0.0, 0.5, 1.0])) for i in range(40)] + [(f"m{i:02}", f"m{i + 1:02}", 1.0) for i in range(0, 39, 3)]
+    edges = S.edges_of(spark.createDataFrame(games, "lo string, hi string, score double"))
+    want = dense([tuple(r) for r in edges.collect()], 0.1)
+    got = {r["item"]: r["strength"] for r in S.solve(edges, share=5).strengths.collect()}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-7
+
+
 def test_ranking_rules(spark):
     rows = [
         line(1, "q", " best", "mid", 1.0), line(2, "q", "mid ", "worst", 1.0), line(3, "q", "worst", "best", 0.0),
