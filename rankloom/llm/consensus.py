@@ -9,12 +9,15 @@ log-likelihood, scaled by its expected curvature, with normal priors on both.
 Everything is an aggregation. Items with the same set of (annotator, label) follow the same path, so
 they are one pattern with a weight; a pattern is recognised by two commutative hash sums, which
 aggregate map-side. The votes of an item are never collected, and an item or an annotator with a
-third of all votes is pre-aggregated before each shuffle. An iteration is two jobs.
+third of all votes is pre-aggregated before each shuffle. The votes are laid out by pattern once, in memory
+or on disk, a pattern of very many votes in shares; an iteration is two jobs, which read them where
+they lie and move only one row a pattern and one an annotator. A fit says whether it has converged.
 """
 
 from __future__ import annotations
 
 import warnings
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -23,9 +26,13 @@ from rankloom.llm.verdictlog import bare, outcome, readable
 from rankloom.runtime import Written, small
 
 LABELS = ("A", "B", "tie")
-ITERATIONS = 30
+ITERATIONS = 300
 TOLERANCE = 1e-3
 PRIOR_ABILITY, PRIOR_SPREAD = 1.0, 1.0
+#: Abilities and log-easinesses stay within these bounds; beyond them nothing changes a probability visibly.
+MOST_ABILITY, MOST_EASINESS = 6.0, 4.0
+#: Votes of one pattern that lie together, and votes a task is given.
+SHARE, TASK = 100_000, 50_000
 
 
 def votes_of(log: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -67,76 +74,98 @@ def _logistic(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 
 
-def ability_difficulty(votes: DataFrame, patterns: DataFrame, iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame]:
-    """Pattern votes and patterns to posteriors(k1, k2, p0, p1, p2, log_easiness) and
-    abilities(judge, ability, n_votes, agreement). Stops when no ability moves by `tolerance` in two
+@dataclass
+class Fit:
+    """posteriors(k1, k2, p0, p1, p2, log_easiness), abilities(judge, ability, n_votes, agreement), the iterations made,
+    the last step of an ability, and whether the steps were within the tolerance twice running."""
+
+    posteriors: DataFrame
+    abilities: DataFrame
+    iterations: int
+    step: float
+    converged: bool
+
+
+def ability_difficulty(votes: DataFrame, patterns: DataFrame, iterations: int = ITERATIONS, tolerance: float = TOLERANCE, share: int = SHARE) -> Fit:
+    """Pattern votes and patterns to a fit. Stops when no ability moves by `tolerance` in two
     iterations running, and warns where the last iteration comes first."""
     k, n = ["k1", "k2"], len(LABELS)
     weighted = Written(votes.join(patterns, k), "panel-weighted").df
+    size = weighted.groupBy(*k).agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
+    parts = max(1, min(int(votes.sparkSession.conf.get("spark.sql.shuffle.partitions")), (size["all"] or 0) // TASK + 1))
+    at = k
+    if (size["most"] or 0) > share:  # a pattern of very many votes lies in shares
+        at = [*k, "share"]
+        shares = weighted.groupBy(*k).agg(F.ceil(F.count("*") / share).cast("int").alias("shares"))
+        weighted = weighted.join(shares, k).withColumn("share", F.pmod(F.xxhash64("judge"), F.col("shares")).cast("int"))
+    laid = weighted.repartition(parts, *at).sortWithinPartitions(*at).persist()
+
+    def spread(state: DataFrame, *cols: Column) -> DataFrame:
+        """One row a pattern to one row a share of it."""
+        rows = state.select(*k, *cols)
+        return rows if at == k else rows.join(shares, k).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+
     ability = Written(weighted.groupBy("judge").agg(F.sum("weight").alias("n_votes")).withColumn("ability", F.lit(PRIOR_ABILITY)), "panel-abilities")
     few = small(ability.df)
     state: Written | None = None
     prior = [1.0 / n] * n
     before = step_now = float("inf")
-    for _ in range(iterations):
+    made, converged = 0, False
+    bounded = lambda c, most: F.least(F.greatest(c, F.lit(-most)), F.lit(most))
+    sure = lambda c: F.least(F.greatest(_logistic(c), F.lit(1e-9)), F.lit(1 - 1e-9))
+    for made in range(1, iterations + 1):
         seen = ability.df.select(F.col("judge").alias("who"), "ability")
-        rows = weighted.join(F.broadcast(seen) if few else seen, weighted["judge"].eqNullSafe(F.col("who"))).drop("who")
-        easy = F.lit(1.0) if state is None else F.exp("log_easiness")
-        if state is not None:
-            rows = rows.join(state.df.select(*k, "log_easiness"), k)
-        right = F.least(F.greatest(_logistic(F.col("ability") * easy), F.lit(1e-9)), F.lit(1 - 1e-9))
-        rows = rows.withColumn("right", right)
-        miss = F.log((1 - F.col("right")) / (n - 1))
-        gain = F.log("right") - miss
-        sums = rows.groupBy(*k).agg(
-            F.first("weight").alias("weight"),
-            *([F.lit(0.0).alias("b")] if state is None else [F.first("log_easiness").alias("b")]),
-            *[F.sum(F.when(F.col("label") == z, gain).otherwise(0.0)).alias(f"g{z}") for z in range(n)],
-            *[F.sum(F.when(F.col("label") == z, F.col("ability")).otherwise(0.0)).alias(f"a{z}") for z in range(n)],
-            F.sum(F.col("ability") * F.col("right")).alias("expected"),
-            F.sum(F.col("ability") ** 2 * F.col("right") * (1 - F.col("right"))).alias("curve"),
-        )
+        rows = laid.join(F.broadcast(seen) if few else seen, laid["judge"].eqNullSafe(F.col("who"))).drop("who")
+        old = F.lit(0.0) if state is None else F.col("log_easiness")
+        voted = rows if state is None else rows.join(spread(state.df, F.col("log_easiness")), at)
+        voted = voted.withColumn("right", sure(F.col("ability") * F.exp(old)))
+        gain = F.log("right") - F.log((1 - F.col("right")) / (n - 1))
+        parts_of = [
+            old.alias("b"),
+            *[F.when(F.col("label") == z, gain).otherwise(0.0).alias(f"g{z}") for z in range(n)],
+            *[F.when(F.col("label") == z, F.col("ability")).otherwise(0.0).alias(f"a{z}") for z in range(n)],
+            (F.col("ability") * F.col("right")).alias("expected"),
+            (F.col("ability") ** 2 * F.col("right") * (1 - F.col("right"))).alias("curve"),
+        ]
+        added = [c for z in range(n) for c in (f"g{z}", f"a{z}")] + ["expected", "curve"]
+        total = lambda df, by: df.groupBy(*by).agg(F.first("b").alias("b"), *[F.sum(c).alias(c) for c in added])
+        sums = total(voted.select(*at, *parts_of), at)
+        sums = sums if at == k else total(sums, k)
         scored = [F.col(f"g{z}") + F.log(F.lit(prior[z])) for z in range(n)]
         top = F.greatest(*scored)
-        parts = [F.exp(s - top) for s in scored]
-        whole = parts[0] + parts[1] + parts[2]
+        parts_ = [F.exp(s - top) for s in scored]
+        whole = parts_[0] + parts_[1] + parts_[2]
         b = F.exp("b")
         slope = b * (sum((F.col(f"p{z}") * F.col(f"a{z}") for z in range(n)), F.lit(0.0)) - F.col("expected")) - F.col("b")
         moved = F.col("b") + slope / (b * b * F.col("curve") + 1)
-        posterior = sums.select("*", *[(p / whole).alias(f"p{z}") for z, p in enumerate(parts)])
-        seen_prior = Observation()
-        old, state = state, Written(
-            posterior.select(*k, "b", *[f"p{z}" for z in range(n)], F.least(F.greatest(moved, F.lit(-4.0)), F.lit(4.0)).alias("log_easiness")).observe(
-                seen_prior, *[F.sum(F.col(f"p{z}")).alias(f"p{z}") for z in range(n)]
-            ),
-            "panel-posteriors",
-        )
+        posterior = sums.select("*", *[(p / whole).alias(f"p{z}") for z, p in enumerate(parts_)])
+        last, state = state, Written(posterior.select(*k, *[f"p{z}" for z in range(n)], bounded(moved, MOST_EASINESS).alias("log_easiness")), "panel-posteriors")
         own = F.element_at(F.array(*[F.col(f"p{z}") for z in range(n)]), F.col("label") + 1)
-        now_easy = F.exp("moved")
-        now = state.df.select(*k, F.col("log_easiness").alias("moved"), *[f"p{z}" for z in range(n)])
-        judged = rows.select(*k, "judge", "label", "weight", "ability").join(now, k)
-        judged = judged.withColumn("right", F.least(F.greatest(_logistic(F.col("ability") * now_easy), F.lit(1e-9)), F.lit(1 - 1e-9)))
+        easy = F.exp("log_easiness")
+        judged = rows.join(spread(state.df, F.col("log_easiness"), *[F.col(f"p{z}") for z in range(n)]), at).withColumn("right", sure(F.col("ability") * easy))
         per = judged.groupBy("judge").agg(
             F.first("ability").alias("ability"),
             F.sum("weight").alias("n_votes"),
             F.sum(F.col("weight") * own).alias("agreed"),
-            F.sum(F.col("weight") * now_easy * (own - F.col("right"))).alias("slope"),
-            F.sum(F.col("weight") * now_easy * now_easy * F.col("right") * (1 - F.col("right"))).alias("curve"),
+            F.sum(F.col("weight") * easy * (own - F.col("right"))).alias("slope"),
+            F.sum(F.col("weight") * easy * easy * F.col("right") * (1 - F.col("right"))).alias("curve"),
         )
-        spread = 1 / PRIOR_SPREAD**2
-        step = (F.col("slope") - spread * (F.col("ability") - PRIOR_ABILITY)) / (F.col("curve") + spread)
+        tight = 1 / PRIOR_SPREAD**2
+        step = (F.col("slope") - tight * (F.col("ability") - PRIOR_ABILITY)) / (F.col("curve") + tight)
         moves = Observation()
-        new = per.select("judge", "n_votes", (F.col("agreed") / F.col("n_votes")).alias("agreement"), F.least(F.greatest(F.col("ability") + step, F.lit(-6.0)), F.lit(6.0)).alias("ability"), step.alias("step"))
-        last, ability = ability, Written(new.observe(moves, F.max(F.abs("step")).alias("step")), "panel-abilities")
-        last.drop()
-        if old is not None:
-            old.drop()
+        new = per.select("judge", "n_votes", (F.col("agreed") / F.col("n_votes")).alias("agreement"), bounded(F.col("ability") + step, MOST_ABILITY).alias("ability"), F.col("ability").alias("was"))
+        gone, ability = ability, Written(new.observe(moves, F.max(F.abs(F.col("ability") - F.col("was"))).alias("step")), "panel-abilities")
+        gone.drop()
+        if last is not None:
+            last.drop()
         before, step_now = step_now, moves.get["step"] or 0.0
-        if max(before, step_now) < tolerance:
+        converged = max(before, step_now) < tolerance
+        if converged:
             break
-    else:
-        warnings.warn(f"abilities still move by {step_now:.2g} after {iterations} iterations", RuntimeWarning, stacklevel=2)
-    return state.df, ability.df
+    laid.unpersist()
+    if not converged:
+        warnings.warn(f"abilities still move by {step_now:.2g} after {made} iterations", RuntimeWarning, stacklevel=2)
+    return Fit(state.df, ability.df, made, step_now, converged)
 
 
 def consensus(log: DataFrame, iterations: int = ITERATIONS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -144,20 +173,21 @@ def consensus(log: DataFrame, iterations: int = ITERATIONS) -> tuple[DataFrame,
 
     winners(qid, model_a, model_b, winner, confidence): the label with the highest posterior; if the
     two models have the same posterior and it is the highest, the item is a tie. An item without a vote
-    is a tie with null confidence. annotators(judge, n_votes, ability, agreement): agreement is the mean
-    posterior of the labels the annotator gave.
+    is a tie with null confidence. annotators(judge, n_votes, ability, agreement, converged): agreement is the mean
+    posterior of the labels the annotator gave; converged says whether the fit had settled.
     """
     items, votes = votes_of(log)
     items, votes = Written(items, "panel-all").df, Written(votes, "panel-lines").df
     keyed, patterns, shapes = patterns_of(votes)
-    posterior, ability = ability_difficulty(shapes, patterns, iterations)
+    fit = ability_difficulty(shapes, patterns, iterations)
+    posterior = fit.posteriors
     best = F.greatest("p0", "p1", "p2")
     said = F.when(F.abs(F.col("p0") - F.col("p1")) < 1e-9, F.lit("tie")).when(F.col("p0") == best, "A").when(F.col("p1") == best, "B").otherwise("tie")
     shown = posterior.select("k1", "k2", said.alias("winner"), best.alias("confidence"))
     found = keyed.join(shown, ["k1", "k2"]).select(*[F.col(c).alias(f"_{c}") for c in ("qid", "model_a", "model_b")], "winner", "confidence")
     same = items["qid"].eqNullSafe(F.col("_qid")) & (items["model_a"] == F.col("_model_a")) & (items["model_b"] == F.col("_model_b"))
     winners = items.join(found, same, "left").select("qid", "model_a", "model_b", F.coalesce("winner", F.lit("tie")).alias("winner"), "confidence")
-    return winners, ability.select("judge", F.col("n_votes").cast("long").alias("n_votes"), "ability", "agreement"), votes
+    return winners, fit.abilities.select("judge", F.col("n_votes").cast("long").alias("n_votes"), "ability", "agreement", F.lit(fit.converged).alias("converged")), votes
 
 
 def krippendorff(votes: DataFrame) -> DataFrame:

@@ -189,8 +189,14 @@ def test_abilities_have_settled_when_the_fit_stops(spark):
             rows.append(line(len(rows) + 1, f"q{q}", "a", "b", z if rng.random() < p else rng.choice([x for x in (0.0, 0.5, 1.0) if x != z]), judge=j))
     _, lines = C.votes_of(spark.createDataFrame(rows, LOG))
     _, patterns, shapes = C.patterns_of(lines)
-    stopped = {r["judge"]: r["ability"] for r in C.ability_difficulty(shapes, patterns)[1].collect()}
-    settled = {r["judge"]: r["ability"] for r in C.ability_difficulty(shapes, patterns, 40, 1e-5)[1].collect()}
+    stopped = {r["judge"]: r["ability"] for r in C.ability_difficulty(shapes, patterns).abilities.collect()}
+    settled = {r["judge"]: r["ability"] for r in C.ability_difficulty(shapes, patterns, 60, 1e-5).abilities.collect()}
     assert max(abs(stopped[j] - settled[j]) for j in skill) < 2e-3
     with pytest.warns(RuntimeWarning, match="still move"):
-        C.ability_difficulty(shapes, patterns, 1)
+        short = C.ability_difficulty(shapes, patterns, 1)
+    assert not short.converged and short.iterations == 1
+    with pytest.warns(RuntimeWarning):
+        dealt = C.ability_difficulty(shapes, patterns, 1, share=2)
+    for a, b in ((short.abilities, dealt.abilities), (short.posteriors.drop("p2"), dealt.posteriors.drop("p2"))):
+        rows = zip(sorted(map(tuple, a.collect())), sorted(map(tuple, b.collect())))
+        assert all(x == (pytest.approx(y) if isinstance(y, float) else y) for r, s in rows for x, y in zip(r, s))
