@@ -15,7 +15,11 @@ record. Three steps:
    result: their windows become rows and are counted with map-side aggregation, so that no task
    ever holds such a group.
 
-The size of the sketch follows the input up to `MOST_BITS` a row; it is the only thing broadcast.
+The width of the sketch follows the input, so the part of the stretches that it lets through by mistake does
+not grow. Up to `MOST_BITS` counters a row the merged sketch is small enough to be sent to every task. A
+wider one stays spread over the cluster: each task's counts are merged by slot in a shuffle, the stretches
+are filtered by a join on the slot, and only texts with a kept stretch are read once more. Both ways
+keep every repeated window, so the result is the same.
 """
 
 from __future__ import annotations
@@ -28,13 +32,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.runtime import Written, written
+from rankloom.runtime import small, written
 
 LENGTH = 300
 SUB = 100
 DEPTH = 3
-#: Counters in a row of the sketch, as a power of two: the least and the most.
+#: Counters in a row of the sketch, as a power of two: the least, and the most that are sent to every task.
 LEAST_BITS, MOST_BITS = 20, 28
+#: The sketch that stays spread has a single row, wider by this power of two.
+WIDER = 3
+#: Shares the windows of a hot sub-window are dealt into where they are joined.
+SALTS = 16
 BLOCK = 1 << 16
 #: Sub-windows with more stretches than this are counted as rows.
 HOT = 20_000
@@ -243,6 +251,58 @@ def _keep(shared, length: int, sub: int, bits: int):
     return run
 
 
+def _slot(value: np.ndarray, bits: int) -> np.ndarray:
+    return (_mix(value, 0xA5A5) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _local_counts(length: int, sub: int, bits: int):
+    """mapInPandas step: texts to the counters this batch sets in a sketch of one row: (slot, records)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            text, _, _, value = stretches(pdf["text"].tolist(), length, sub)
+            if len(value):
+                pair = np.unique(np.stack([text, _slot(value, bits)], 1), axis=0)  # a record counts once
+                slot, n = np.unique(pair[:, 1], return_counts=True)
+                yield pd.DataFrame({"slot": slot, "n": np.minimum(n, 2)})
+
+    return run
+
+
+def _places(length: int, sub: int, bits: int):
+    """mapInPandas step: texts to the places of their stretches."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            text, first, last, value = stretches(pdf["text"].tolist(), length, sub)
+            if len(text):
+                yield pd.DataFrame({"slot": _slot(value, bits), "m": value.view(np.int64), "id": pdf["id"].to_numpy()[text], "t": pdf["t"].to_numpy()[text], "first": first, "last": last})
+
+    return run
+
+
+def _cut(length: int):
+    """mapInPandas step: texts with the places of their kept stretches to those stretches."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(p["m"], i, p["first"], text[p["first"] : p["last"] + length]) for i, text, places in zip(pdf["id"], pdf["text"], pdf["places"]) for p in places]
+            if rows:
+                yield pd.DataFrame(rows, columns=["m", "id", "first", "part"])
+
+    return run
+
+
+def _kept_wide(rows: DataFrame, bits: int, length: int, sub: int, kind: str) -> DataFrame:
+    """The stretches a sketch of 2 ** bits counters estimates repeated, the sketch staying spread over the cluster."""
+    counts = rows.select("text").mapInPandas(_local_counts(length, sub, bits), "slot long, n long")
+    many = written(counts.groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1").select("slot"), "span-slots")
+    known = rows.select("id", F.xxhash64("text").alias("t"), "text")
+    places = known.mapInPandas(_places(length, sub, bits), f"slot long, m long, id {kind}, t long, first int, last int").join(many, "slot", "left_semi")
+    own = places.groupBy("id", "t").agg(F.array_distinct(F.collect_list(F.struct("m", "first", "last"))).alias("places"))  # a text's own stretches
+    return known.join(own, ["id", "t"]).mapInPandas(_cut(length), f"m long, id {kind}, first int, part string")
+
+
 def _windows(parts: list[str], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(part, start in it, hash) of every window of `length` characters."""
     sizes = np.array([len(p) for p in parts], dtype=np.int64)
@@ -327,7 +387,7 @@ def _as_rows(length: int):
 def sketch_bits(df: DataFrame) -> int:
     """Counters in a row of the sketch, from the size Spark estimates for the input's files."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return int(min(MOST_BITS, max(LEAST_BITS, (size // 16).bit_length())))
+    return int(min(60 - WIDER, max(LEAST_BITS, (size // 16).bit_length())))
 
 
 def merge_spans(spans: DataFrame) -> DataFrame:
@@ -339,7 +399,17 @@ def merge_spans(spans: DataFrame) -> DataFrame:
     return numbered.groupBy("id", "run").agg(F.min("span_start").alias("span_start"), F.max("span_end").alias("span_end")).drop("run")
 
 
-def shared_spans(df: DataFrame, key: str, text: str, length: int = LENGTH, sub: int = SUB, hot: int = HOT, bits: int | None = None) -> DataFrame:
+def kept_stretches(rows: DataFrame, length: int = LENGTH, sub: int = SUB, bits: int | None = None, most_bits: int = MOST_BITS) -> DataFrame:
+    """rows(id, text) to the stretches (m, id, first, part) estimated repeated, written."""
+    bits = sketch_bits(rows) if bits is None else bits
+    kind = rows.schema["id"].dataType.simpleString()
+    if bits > most_bits:
+        return written(_kept_wide(rows, bits + WIDER, length, sub, kind), "span-stretches")
+    planes = rows.sparkSession.sparkContext.broadcast(repeated_sketch(rows.select("text"), bits, length, sub))
+    return written(rows.mapInPandas(_keep(planes, length, sub, bits), f"m long, id {kind}, first int, part string"), "span-stretches")
+
+
+def shared_spans(df: DataFrame, key: str, text: str, length: int = LENGTH, sub: int = SUB, hot: int = HOT, bits: int | None = None, most_bits: int = MOST_BITS) -> DataFrame:
     """(key, span_start, span_end): maximal runs of shared characters, from 0, end exclusive.
 
     Rows with a null key or a null text are left out; texts shorter than `length` share nothing; a
@@ -349,20 +419,26 @@ def shared_spans(df: DataFrame, key: str, text: str, length: int = LENGTH, sub:
     if not 0 < sub <= length:
         raise ValueError("sub must be between 1 and length")
     spark = df.sparkSession
-    bits = sketch_bits(df) if bits is None else bits
     rows = df.select(F.col(key).alias("id"), F.col(text).alias("text")).filter(F.col("id").isNotNull() & (F.length("text") >= length))
     kind = rows.schema["id"].dataType.simpleString()
-    planes = spark.sparkContext.broadcast(repeated_sketch(rows.select("text"), bits, length, sub))
-    kept = Written(rows.mapInPandas(_keep(planes, length, sub, bits), f"m long, id {kind}, first int, part string"), "span-stretches").df
-    stats = kept.groupBy("m").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("m", "n")
-    some = kept.join(stats, "m")
+    kept = kept_stretches(rows, length, sub, bits, most_bits)
+    stats = written(kept.groupBy("m").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("m", "n"), "span-groups")
+    crowd = stats.filter(F.col("n") > hot).select("m")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     out = f"id {kind}, span_start int, span_end int"
-    cold = some.filter(F.col("n") <= hot).drop("n").repartition(n, "m").sortWithinPartitions("m").mapInPandas(_compare(length), out)
-    windows = some.filter(F.col("n") > hot).drop("n").mapInPandas(_as_rows(length), f"h long, id {kind}, span_start int")
-    many = windows.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("h")
-    crowded = windows.join(many, "h").select("id", "span_start", (F.col("span_start") + length).alias("span_end"))
-    spans = merge_spans(cold.unionByName(crowded))
+    if crowd.isEmpty():
+        calm, crowded = kept, None
+    else:
+        few = F.broadcast(crowd) if small(crowd) else crowd
+        calm = kept.join(few, "m", "left_anti")  # what is shuffled by sub-window below is at most `hot` rows a key
+        windows = kept.join(few, "m", "left_semi").mapInPandas(_as_rows(length), f"h long, id {kind}, span_start int")
+        many = windows.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi")
+        many = many.select("h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        salted = windows.withColumn("salt", F.pmod(F.xxhash64("id", "span_start"), F.lit(SALTS)).cast("int"))
+        crowded = salted.join(many, ["h", "salt"]).select("id", "span_start", (F.col("span_start") + length).alias("span_end"))
+    some = calm.join(stats.filter(F.col("n") <= hot).select("m"), "m")
+    cold = some.select("m", "id", "first", "part").repartition(n, "m").sortWithinPartitions("m").mapInPandas(_compare(length), out)
+    spans = merge_spans(cold if crowded is None else cold.unionByName(crowded))
     return spans.select(F.col("id").alias(key), F.col("span_start").cast("long").alias("span_start"), F.col("span_end").cast("long").alias("span_end"))
 
 

@@ -57,6 +57,32 @@ def test_a_full_sketch_loses_nothing(spark):
     assert {tuple(r) for r in S.shared_spans(df, "id", "t", length=30, sub=10, bits=3).collect()} == brute(data, 30)
 
 
+@pytest.mark.parametrize("hot", [2, 20_000])
+def test_a_spread_sketch_equals_brute_force(spark, hot):
+    """A sketch too wide to be sent stays spread; a key with two texts keeps their places apart."""
+    data = quoted(4)
+    df = spark.createDataFrame(data, "id long, t string")
+    got = {tuple(r) for r in S.shared_spans(df, "id", "t", length=30, sub=10, bits=12, most_bits=5, hot=hot).collect()}
+    assert got == brute(data, 30)
+    twice = spark.createDataFrame([(1, "a" * 5 + "unlike any other text of this table"), (1, "zz" + "shared words, thirty of them or more"), (2, "shared words, thirty of them or more")], "id long, t string")
+    for most in (5, 28):
+        assert sorted(tuple(r) for r in S.shared_spans(twice, "id", "t", length=30, sub=10, bits=12, most_bits=most).collect()) == [(1, 2, 38), (2, 0, 36)]
+
+
+def test_what_is_kept_does_not_grow_with_the_input(spark):
+    """A spread sketch of a width that follows the input lets as few unique stretches through at ten times the load;
+    one of a fixed width fills up."""
+    rng = random.Random(9)
+    texts = [(i, "".join(rng.choice("abcdefgh ") for _ in range(2000))) for i in range(500)]
+
+    def share(n, bits, most):
+        rows = spark.createDataFrame(texts[:n], "id long, text string")
+        return S.kept_stretches(rows, 300, 100, bits, most).count() / (n * 2000 / 100)
+
+    assert share(50, 12, 5) < 0.1 and share(500, 12 + 4, 5) < 0.1
+    assert share(500, 9, 28) > 0.5
+
+
 @given(st.lists(st.text(alphabet="ab", max_size=60), min_size=1, max_size=6))
 @settings(max_examples=60, deadline=None)
 def test_stretches_cover_every_window(texts):
