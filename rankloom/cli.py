@@ -30,7 +30,7 @@ def parser() -> argparse.ArgumentParser:
     sub = top.add_subparsers(dest="command", required=True)
     r = sub.add_parser("run", help="queries, retrieval, judging, ranking")
     _query_arguments(r)
-    r.add_argument("--models", nargs="+", required=True)
+    r.add_argument("--models", nargs="+", required=True, help="names, file:NAME=PATH, or vectors:NAME=DOCUMENTS,QUERIES[,SIMILARITY]")
     r.add_argument("--judge", required=True)
     r.add_argument("--judge-url", default=None)
     r.add_argument("--judge-extra-body", default=None)
@@ -51,7 +51,7 @@ def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
     spark = session(a.master)
     if a.command == "submit":
-        out = prepare(spark, a.results_folder, a.cache_folder or default_cache(), a.clone)
+        out = prepare(spark, a.results_folder, a.cache_folder or default_cache(spark), a.clone)
         print(f"{len(out['records'])} records, {len(out['files'])} files" + (f", branch {out['branch']}" if out["records"] else ""))
         return
     shared = dict(

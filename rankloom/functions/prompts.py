@@ -51,18 +51,19 @@ def judge_system(task: str | None = None) -> str:
     return JUDGE_ROLE + (JUDGE_TASK.replace("{task}", task) if task else "") + JUDGE_BODY + JUDGE_TAIL
 
 
-def task_sentence(prompt: str | dict | None) -> str | None:
-    """P10: a task's prompt, or its entry for queries; blank is none."""
-    text = prompt.get("query") if isinstance(prompt, dict) else prompt
-    return (text or "").strip() or None
+#: P10: where a criterion may come from.
+GIVEN, OF_THE_TASK = "config:task_description", "corpus:task_prompt"
 
 
 def resolve_task(given: str | None, prompt: str | dict | None) -> tuple[str | None, str | None]:
-    """P10: the sentence and where it is from. A given text wins, an empty one too."""
-    if given is not None:
-        return given, "config:task_description"
-    found = task_sentence(prompt)
-    return (found, "corpus:task_prompt") if found else (None, None)
+    """P10: the sentence and where it is from: the given one, also where it is empty; else the task's prompt, or that
+    prompt's entry for queries, without blanks around it; else none."""
+    offers = [(given, GIVEN)]
+    if isinstance(prompt, dict):
+        prompt = prompt.get("query")
+    if prompt and prompt.strip():
+        offers.append((prompt.strip(), OF_THE_TASK))
+    return next(((text, source) for text, source in offers if text is not None), (None, None))
 
 
 def _filled(template: str, name: str, value: Column) -> Column:

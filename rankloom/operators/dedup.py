@@ -36,17 +36,17 @@ def near_edges(queries: DataFrame, threshold: float = 0.8) -> DataFrame:
     return pairs.join(x, "x").join(y, "y").filter(shared >= threshold * (F.size("tx") + F.size("ty") - shared) - 1e-9).select(F.col("x").alias("early"), F.col("y").alias("late"))
 
 
-def greedy_keep(queries: DataFrame, threshold: float = 0.8, rounds: int = 1000) -> DataFrame:
+def greedy_keep(queries: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Queries kept when none of the kept earlier ones is similar; so of a ~ b ~ c with a and c apart,
     a and c stay. Equal token sets keep the first; empty sets are all kept.
 
     Rounds: a node is kept once all its earlier neighbours are dropped, and dropped once one of them is
-    kept. Every round settles at least the earliest open node of each group."""
+    kept. Every round settles at least the earliest open node of each group, and rounds go on until no pair is open."""
     sets = token_sets(queries)
     firsts = sets.filter(F.size("toks") > 0).groupBy(F.array_sort("toks").alias("toks")).agg(F.min("pos").alias("pos")).select("pos")
     state = Written(near_edges(queries, threshold).select("early", "late"), "dedup-edges")
     dropped = Written(queries.sparkSession.createDataFrame([], "pos long"), "dedup-out")
-    for _ in range(rounds):
+    while True:
         late = state.df.select(F.col("late").alias("early")).distinct()
         kept = state.df.select("early").distinct().join(late, "early", "left_anti")
         out = Written(state.df.join(kept, "early", "left_semi").select(F.col("late").alias("pos")).distinct(), "dedup-round")

@@ -5,19 +5,19 @@ from __future__ import annotations
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.chat import answered, client_settings
 from rankloom.functions import prompts
 from rankloom.functions.jsonx import answer_fields
 from rankloom.functions.text import mock_answer, quality, query_ok, strip
-from rankloom.ident import client_id, short_hash, slug
+from rankloom.ident import Key, Layout, client_id, slug
 from rankloom.operators.dedup import greedy_keep
 from rankloom.operators.sampling import SeedDraw, sample_queries
 from rankloom.runtime import written
 from rankloom.schemas import QUERIES
-from rankloom.sources.corpus import Corpus
+from rankloom.sources.corpus import Corpus, content_digest, numbered
 from rankloom.sources.queries import own_queries, read_query_set, write_query_set
 
 
@@ -86,9 +86,10 @@ def rated(queries: DataFrame, client, workers: int = 8) -> tuple[DataFrame, int]
 
 def renumbered(queries: DataFrame, n: int | None = None) -> DataFrame:
     """The first n in order, named q0, q1, ... in that order. Query sets are as small as asked for."""
-    some = queries.orderBy("pos").limit(n) if n is not None else queries
-    place = (F.row_number().over(Window.orderBy("pos")) - 1).cast("long")
-    return some.withColumn("pos", place).withColumn("qid", F.concat(F.lit("q"), F.col("pos").cast("string")))
+    some = queries.orderBy("pos") if n is None else queries.orderBy("pos").limit(n).coalesce(1)
+    sorted_ = written(some.withColumn("_at", F.monotonically_increasing_id()), "renumbered")
+    placed = numbered(sorted_.drop("pos"), "_at").drop("_at")
+    return placed.withColumn("qid", F.concat(F.lit("q"), F.col("pos").cast("string"))).select(*queries.columns)
 
 
 def good_quality(queries: DataFrame, least: int = 3) -> DataFrame:
@@ -119,16 +120,16 @@ class QuerySet:
 
 def synthetic_id(corpus: Corpus, client, s: Settings) -> str:
     told = (prompts.writer_system(s.task_description), prompts.WRITER_USER, prompts.WRITER_CHARS, prompts.RATER_SYSTEM, prompts.RATER_USER)
-    return f"{slug(corpus.id)}-{slug(client_id(client))}-{short_hash(sorted(asdict(s).items()), *told)}"
+    return f"{slug(corpus.id)}-{slug(client_id(client))}-{Key.of('queries', **asdict(s), told=told).digest()}"
 
 
-def resolve_queries(corpus: Corpus, cache: Path, queries, client, s: Settings, workers: int = 8) -> QuerySet:
+def resolve_queries(corpus: Corpus, cache: str | Path, queries, client, s: Settings, workers: int = 8) -> QuerySet:
     """D04: "synthetic" (generated, or read back from the cache), "original" (the task's own, sampled), or
     your own."""
     spark = corpus.docs.sparkSession
     if isinstance(queries, str) and queries == "synthetic":
         name = synthetic_id(corpus, client, s)
-        path = cache / "queries" / corpus.name / f"{name}.json"
+        path = Layout(str(cache)).query_set(corpus.name, name)
         kept = read_query_set(spark, path)
         if kept is None:
             raw = written(generate(corpus.docs, client, s, workers), "generated")
@@ -146,5 +147,5 @@ def resolve_queries(corpus: Corpus, cache: Path, queries, client, s: Settings, w
         texts = written(sample_queries(corpus.queries, s.n_queries, s.seed).select("qid", "text", "pos"), "original")
         return QuerySet(f"{slug(corpus.id)}-original-n{texts.count()}-s{s.seed}", texts, None, "original")
     rows = written(own_queries(spark, queries), "own")
-    parts = [f"{r['qid']}:{r['text']}" for r in rows.orderBy("pos").toLocalIterator()]
-    return QuerySet(f"{slug(corpus.id)}-own-{short_hash(*parts)}", rows.select("qid", "text", "pos"), rows, "own")
+    digest = content_digest(rows.select(F.col("qid").alias("doc_id"), "text", "pos"))
+    return QuerySet(f"{slug(corpus.id)}-own-{digest}", rows.select("qid", "text", "pos"), rows, "own")

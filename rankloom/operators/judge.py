@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.chat import answered
 from rankloom.functions.jsonx import answer_fields
 from rankloom.functions.prompts import IDENTICAL_REASON, judge_system, judge_user
 from rankloom.functions.text import joined_reasons, mock_answer, pair_score, winner
-from rankloom.runtime import written
+from rankloom.runtime import Written, small, written
 
 #: Verdicts of a pair that are looked at, and the shares above which judging stops.
 GUARD_AFTER, GUARD_FAILED, GUARD_IDENTICAL = 30, 0.5, 0.95
@@ -25,7 +27,7 @@ def meetings(ranked: DataFrame, pairs: DataFrame, chosen: DataFrame | None = Non
     """(pair, model_a, model_b, qid, query, ids_a, texts_a, ids_b, texts_b, pos): queries both models
     of a pair have a list for, perhaps only the chosen (qid, pair). pos: pair by pair, in the first
     model's query order."""
-    roster = F.broadcast(pairs)  # as many rows as the roster has pairs
+    roster = F.broadcast(pairs) if small(pairs) else pairs
     a = ranked.select(F.col("model").alias("model_a"), "qid", "query", F.col("doc_ids").alias("ids_a"), F.col("doc_texts").alias("texts_a"), F.col("pos").alias("qpos"))
     b = ranked.select(F.col("model").alias("model_b"), "qid", F.col("doc_ids").alias("ids_b"), F.col("doc_texts").alias("texts_b"))
     met = a.join(b, "qid").join(roster, ["model_a", "model_b"])  # lists are shuffled once, not once a pair
@@ -79,13 +81,19 @@ def assemble(met: DataFrame, read: DataFrame, task: str = "", judge: str = "", q
     )
 
 
-def judge_all(met: DataFrame, client=None, *, seed: int = 0, instruction: str | None = None, doc_chars: int = 2000, workers: int = 8, guard: bool = True, **stamp: str) -> DataFrame:
+#: Meetings of one wave for each worker; what was answered before a crash is kept wave by wave.
+WAVE = 32
+
+
+def judge_all(met: DataFrame, client=None, *, seed: int = 0, instruction: str | None = None, doc_chars: int = 2000, workers: int = 8, guard: bool = True, on_verdicts: Callable[[DataFrame], None] | None = None, wave: int = WAVE, **stamp: str) -> DataFrame:
     """Verdicts of all meetings. Without a client, or with the mock client, answers are a column.
-    Otherwise every meeting is asked about twice, `workers` tasks at a time, and the answers are written
-    before use, so none is paid for again. A11: the first 30 of each pair are judged, written and looked
-    at before the rest is asked."""
+    Otherwise every meeting is asked about twice, `workers` tasks at a time and `wave` meetings a task, and a wave's
+    answers are written before use, so none is paid for again. A11: the first 30 of each pair are judged, written and
+    looked at before the rest is asked. Y05: `on_verdicts` is called with the written verdicts of each wave as soon as
+    they are there, so that whoever keeps them has lost no more than a wave when a run dies."""
     system = judge_system(instruction)
-    if client is None or getattr(client, "model", None) == "mock":
+    mock = client is None or getattr(client, "model", None) == "mock"
+    if mock:
         ask = lambda rows: mock_answers(judge_prompts(rows.filter(~identical(rows)), doc_chars), system, getattr(client, "seed", seed))
     else:
 
@@ -93,16 +101,24 @@ def judge_all(met: DataFrame, client=None, *, seed: int = 0, instruction: str |
             prompts = judge_prompts(rows.filter(~identical(rows)), doc_chars).withColumn("system", F.lit(system)).repartition(workers)
             return written(answered(prompts, client).select("pair", "qid", "turn", "answer"), "answers")
 
-    if not guard:
-        return assemble(met, read_answers(ask(met)), **stamp)
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("pair").orderBy("pos"))
-    numbered = written(met.withColumn("_n", place), "meetings")
-    early, late = numbered.filter(F.col("_n") <= GUARD_AFTER).drop("_n"), numbered.filter(F.col("_n") > GUARD_AFTER).drop("_n")
-    head = written(assemble(early, read_answers(ask(early)), **stamp), "early-verdicts")
-    check_guard(head)
-    return head.unionByName(assemble(late, read_answers(ask(late)), **stamp))
+    judged = lambda rows: assemble(rows, read_answers(ask(rows)), **stamp)
+    if mock and not guard and on_verdicts is None:
+        return judged(met)
+    total = met.count()
+    waves = 1 if mock else max(1, -(-total // (wave * workers)))
+    place = F.row_number().over(Window.partitionBy("pair").orderBy("pos"))  # the optimiser has no limit here: places of all meetings are needed
+    early = place <= GUARD_AFTER if guard else F.lit(False)
+    dealt = F.when(early, 0).otherwise(1 + F.pmod(F.xxhash64("pair", "qid"), F.lit(waves)).cast("int"))
+    table = Written(met.withColumn("wave", dealt), "meetings", by="wave").df
+    done = None
+    for k in range(0 if guard else 1, waves + 1):
+        some = written(judged(table.filter(F.col("wave") == k).drop("wave")), "verdicts")
+        if k == 0:
+            check_guard(some)
+        if on_verdicts is not None:
+            on_verdicts(some)
+        done = some if done is None else done.unionByName(some)
+    return done
 
 
 def guard_counts(verdicts: DataFrame, by: str = "pair") -> DataFrame:

@@ -13,6 +13,7 @@ from rankloom.ident import git_revision, package_version
 from rankloom.operators.agreement import record_agreement
 from rankloom.operators.rank import format_leaderboard
 from rankloom.sources.logs import read_record, record_paths, write_record
+from rankloom.storage import tidy
 
 
 def diagnostics(verdicts: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -55,13 +56,13 @@ class Result:
     """One record and where it is kept."""
 
     record: dict
-    path: Path | None = None
+    path: str | Path | None = None
 
     @classmethod
     def from_disk(cls, path: str | Path) -> Result:
-        return cls(read_record(path), Path(path))
+        return cls(read_record(path), tidy(path))
 
-    def to_disk(self, path: str | Path | None = None) -> Path:
+    def to_disk(self, path: str | Path | None = None) -> str | Path:
         self.path = write_record(self.record, path or self.path)
         return self.path
 

@@ -10,13 +10,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.runtime import small
+from rankloom.runtime import BROADCAST_ROWS, small
 
 #: Ids a plan may hold on the driver.
 PLAN_IDS = 5_000_000
 
 
-def _ids(df: DataFrame, key: str, order: str) -> list[str]:
+def ids(df: DataFrame, key: str, order: str) -> list[str]:
     if not small(df.select(key), PLAN_IDS):
         raise ValueError(f"more than {PLAN_IDS} ids to draw from")
     return [r[0] for r in df.orderBy(order).select(key).collect()]
@@ -27,7 +27,7 @@ class SeedDraw:
     ids from all ids in their order."""
 
     def __init__(self, docs: DataFrame, seed: int, size: int = 3):
-        self.ids, self.rng, self.size = _ids(docs, "doc_id", "pos"), random.Random(seed), size
+        self.ids, self.rng, self.size = ids(docs, "doc_id", "pos"), random.Random(seed), size
 
     def wave(self, n: int) -> list[list[str]]:
         k = min(self.size, len(self.ids))
@@ -36,11 +36,11 @@ class SeedDraw:
 
 def sample_queries(queries: DataFrame, n: int, seed: int) -> DataFrame:
     """N of the queries, drawn from their sorted ids; all of them if there are no more. Order stays."""
-    ids = sorted(_ids(queries, "qid", "qid"))
-    if len(ids) <= n:
+    known = sorted(ids(queries, "qid", "qid"))
+    if len(known) <= n:
         return queries
-    chosen = queries.sparkSession.createDataFrame([(q,) for q in random.Random(seed).sample(ids, n)], "qid string")
-    return queries.join(F.broadcast(chosen), "qid", "left_semi")
+    chosen = queries.sparkSession.createDataFrame([(q,) for q in random.Random(seed).sample(known, n)], "qid string")
+    return queries.join(F.broadcast(chosen) if n <= BROADCAST_ROWS else chosen, "qid", "left_semi")
 
 
 def pair_subset(spark, n_pairs: int, qids: list[str], k: int | None, seed: int) -> DataFrame | None:

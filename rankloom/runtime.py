@@ -98,10 +98,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
 class Written:
     """A DataFrame cut from its lineage: written to the shared folder and read back."""
 
-    def __init__(self, df: DataFrame, name: str = "table"):
+    def __init__(self, df: DataFrame, name: str = "table", by: str | None = None):
+        """by: a column with few values, a folder for each, so that a filter on it reads only its own."""
         self.spark = df.sparkSession
         self.path = os.path.join(shared_dir(self.spark), "rankloom", f"{name}-{uuid.uuid4().hex}")
-        df.write.parquet(self.path)
+        (df.write.partitionBy(by) if by else df.write).parquet(self.path)
         _written.append((self.spark, self.path))
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 

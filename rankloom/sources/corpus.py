@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rankloom import storage
 from rankloom.functions.text import title_text
+from rankloom.runtime import written
 
 
 @dataclass
@@ -41,11 +43,20 @@ def last_wins(rows: DataFrame, key: str, pos: str = "pos") -> DataFrame:
     return kept.select(key, *[F.col(f"_last.{c}").alias(c) for c in rest], pos)
 
 
+def last_texts(rows: DataFrame, key: str, pos: str = "pos") -> DataFrame:
+    """A13 where rows are wide: the winning places are found first, from keys and places alone, and only the winners'
+    other columns are joined, so a text is shuffled once. Places are unique; null keys are one key."""
+    ends = rows.groupBy(key).agg(F.max(pos).alias("_last"), F.min(pos).alias("_first"))
+    won = rows.join(ends.select("_last", "_first"), rows[pos] == F.col("_last"))
+    rest = [c for c in rows.columns if c not in (key, pos)]
+    return won.select(key, *rest, F.col("_first").alias(pos))
+
+
 def table_docs(rows: DataFrame, key: str = "doc_id", title: str | None = "title", text: str = "text", pos: str = "pos") -> DataFrame:
     """(doc_id, text, pos) of a delivered passage table. Passages without a key are left out; a
     passage delivered again keeps its place."""
     shown = title_text(title, text) if title else F.coalesce(F.col(text), F.lit(""))
-    return last_wins(rows.filter(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("doc_id"), shown.alias("text"), F.col(pos).cast("long").alias("pos")), "doc_id")
+    return last_texts(rows.filter(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("doc_id"), shown.alias("text"), F.col(pos).cast("long").alias("pos")), "doc_id")
 
 
 def load_tables(spark: SparkSession, name: str, corpus: str, queries: str | None = None, qrels: str | None = None, *, revision: str | None = None, subset: str = "default", split: str = "test", prompt=None, ignore_identical_ids: bool = False) -> Corpus:
@@ -64,23 +75,26 @@ def numbered_rows(rows: DataFrame, pos: str = "pos") -> DataFrame:
     return rows.withColumn(pos, F.monotonically_increasing_id())
 
 
-def read_lines(spark: SparkSession, path: str | Path) -> DataFrame:
-    """(pos, value): the lines of one file that are not blank, pos counted from 0 over those kept.
-
-    Lines are numbered within read blocks and shifted by the blocks before, so a file of any size is
-    numbered without one task holding it."""
-    rows = spark.read.text(str(path)).filter(F.col("value").rlike(r"(?U)\S")).withColumn("at", F.monotonically_increasing_id())
-    rows = rows.withColumn("block", F.shiftright("at", 33))
-    sizes = sorted((r["block"], r["n"]) for r in rows.groupBy("block").agg(F.count("*").alias("n")).collect())  # one row a partition
+def numbered(rows: DataFrame, at: str, pos: str = "pos") -> DataFrame:
+    """`rows` with their place in the order of `at`, a monotonically increasing id of the same partitions, counted from
+    0 without gaps: rows are numbered within partitions and shifted by those before, so no task holds all."""
+    rows = rows.withColumn("_block", F.shiftright(at, 33))
+    sizes = sorted((r["_block"], r["n"]) for r in rows.groupBy("_block").agg(F.count("*").alias("n")).collect())  # one row a partition
     shift, before = [], 0
     for block, n in sizes:
         shift.append((block, before))
         before += n
     if not shift:
-        return spark.createDataFrame([], "pos long, value string")
-    inner = F.row_number().over(Window.partitionBy("block").orderBy("at")) - 1
-    placed = rows.withColumn("inner", inner).join(F.broadcast(spark.createDataFrame(shift, "block long, shift long")), "block")
-    return placed.select((F.col("inner") + F.col("shift")).cast("long").alias("pos"), "value")
+        return rows.drop("_block").withColumn(pos, F.lit(0).cast("long"))
+    inner = F.row_number().over(Window.partitionBy("_block").orderBy(at)) - 1
+    placed = rows.withColumn("_inner", inner).join(F.broadcast(rows.sparkSession.createDataFrame(shift, "_block long, _shift long")), "_block")
+    return placed.withColumn(pos, (F.col("_inner") + F.col("_shift")).cast("long")).drop("_block", "_inner", "_shift")
+
+
+def read_lines(spark: SparkSession, path: str | Path) -> DataFrame:
+    """(pos, value): the lines of one file that are not blank, pos counted from 0 over those kept."""
+    rows = spark.read.text(str(path)).filter(F.col("value").rlike(r"(?U)\S")).withColumn("at", F.monotonically_increasing_id())
+    return numbered(rows, "at").select("pos", "value")
 
 
 def read_jsonl(spark: SparkSession, path: str | Path) -> DataFrame:
@@ -98,15 +112,15 @@ def read_jsonl(spark: SparkSession, path: str | Path) -> DataFrame:
 def read_folder(spark: SparkSession, root: str | Path) -> DataFrame:
     """(doc_id, text, pos) of all .txt and .md files below a folder; the id is the path from
     the folder. Bytes that are no UTF-8 are dropped; line ends become one character; files are ordered
-    by the parts of their paths."""
-    base = Path(root).resolve()
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,md}").load(str(base))
-    place = F.regexp_replace(F.url_decode(F.regexp_replace(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")), "^file:/*", "/")), "^" + _quoted(str(base)) + "/", "")
+    by the parts of their paths, in a distributed sort of the paths alone."""
+    base = str(root) if "://" in str(root) else str(Path(root).resolve())
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,md}").load(base)
+    plain = F.url_decode(F.regexp_replace(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")), "^file:/*", "/"))
+    place = F.regexp_replace(plain, "^" + _quoted(base.rstrip("/")) + "/", "")
     text = F.regexp_replace(F.regexp_replace(_utf8("content"), "\r\n", "\n"), "\r", "\n")
-    order = F.split(place, "/")
-    rows = files.select(place.alias("doc_id"), text.alias("text"), order.alias("parts"))
-    # a listing of files: as many rows as files, ordered once
-    return rows.withColumn("pos", (F.row_number().over(Window.orderBy("parts")) - 1).cast("long")).select("doc_id", "text", "pos")
+    sorted_ = written(files.select(place.alias("doc_id")).orderBy(F.split("doc_id", "/")).withColumn("at", F.monotonically_increasing_id()), "folder")
+    order = numbered(sorted_, "at").select("doc_id", "pos")
+    return files.select(place.alias("doc_id"), text.alias("text")).join(order, "doc_id")
 
 
 def _quoted(text: str) -> str:
@@ -119,21 +133,21 @@ def _utf8(content: pd.Series) -> pd.Series:
 
 
 def content_digest(docs: DataFrame) -> str:
-    """A hash of all ids and texts in order. Streams one partition at a time through the driver."""
-    h = hashlib.sha256()
-    for r in docs.orderBy("pos").select("doc_id", "text").toLocalIterator():
-        for piece, end in ((r["doc_id"], b"\x00"), (r["text"], b"\x01")):
-            h.update(piece.encode())
-            h.update(end)
-    return h.hexdigest()[:12]
+    """A hash of all ids and texts in order. Every document is hashed where it lies, together with its place, and
+    the hashes are summed up as 64-bit numbers, so neither texts nor hashes pass the driver."""
+    told = F.sha2(F.concat_ws("\x1f", F.col("pos").cast("string"), "doc_id", "text"), 256)
+    words = [F.conv(F.substring(told, 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)") for k in range(4)]
+    r = docs.agg(F.count("*").alias("n"), *[F.sum(w).alias(f"s{k}") for k, w in enumerate(words)]).first()
+    return hashlib.sha256("|".join(str(x) for x in r).encode()).hexdigest()[:12]
 
 
 def load_local(spark: SparkSession, path: str | Path) -> Corpus:
     """A .jsonl file or a folder; nothing found is refused."""
     p = Path(path)
-    docs = read_jsonl(spark, p) if p.is_file() and p.suffix == ".jsonl" else read_folder(spark, p) if p.is_dir() else None
+    docs = read_jsonl(spark, path) if p.suffix == ".jsonl" else read_folder(spark, path) if storage.children(path) else None
     if docs is None or docs.isEmpty():
         raise ValueError(f"no documents found in {path}")
+    docs = written(docs, "corpus")
     digest = content_digest(docs)
     return Corpus(p.stem, f"local:{p.stem}@{digest}", docs, dataset={"path": str(p), "revision": digest})
 
@@ -142,7 +156,7 @@ def load(spark: SparkSession, spec: str | Path | Corpus, tasks: dict[str, dict]
     """An existing path, else the name of a task in `tasks` (arguments of load_tables)."""
     if isinstance(spec, Corpus):
         return spec
-    if Path(spec).exists():
+    if storage.exists(spec):
         return load_local(spark, spec)
     if tasks and str(spec) in tasks:
         return load_tables(spark, str(spec), **tasks[str(spec)])

@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rankloom import storage
 from rankloom.schemas import VERDICT_REQUIRED, VERDICTS
 
 
@@ -45,13 +46,20 @@ def verdict_lines(lines: DataFrame) -> DataFrame:
     good = read.filter(F.col("keys").isNotNull() & (F.size(F.array_except("keys", known)) == 0) & (F.size(F.array_except(needed, F.col("keys"))) == 0))
     default = {"raw": F.array().cast("array<string>"), "reasoning": F.lit(""), "parsed_ok": F.array().cast("array<boolean>"), "task": F.lit(""), "judge": F.lit(""), "query_set": F.lit("")}
     cols = [F.coalesce(F.col(f"v.{c}"), default[c]).alias(c) if c in default else F.col(f"v.{c}").alias(c) for c in VERDICTS.fieldNames()]
-    return good.select(*cols, "line_no")
+    return good.select(*cols, *[c for c in lines.columns if c != "value"])
 
 
 def read_verdict_log(spark: SparkSession, path: str) -> DataFrame:
-    """All verdict lines of a file or folder, line_no by file and place. A file without a final line
-    end is read like any other."""
-    return verdict_lines(spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id()))
+    """All verdict lines of a file or folder with `line_no`, which orders them as they were written: by append
+    (K03), for files without one by the time they were written, then by place. A column `key` says the pair of a
+    log written by `append_verdicts`. A file without a final line end is read like any other."""
+    lines = spark.read.text(path)
+    here = lambda c: F.col(f"_metadata.{c}")
+    parts = set(lines.columns)
+    batch = F.col("batch").cast("long") if "batch" in parts else F.lit(0).cast("long")
+    place = F.struct(batch.alias("batch"), here("file_modification_time").alias("written"), here("file_path").alias("file"), here("file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    key = F.col("key").cast("string") if "key" in parts else F.lit(None).cast("string")
+    return verdict_lines(lines.select("value", place.alias("line_no"), key.alias("key")))
 
 
 def latest(verdicts: DataFrame, *keys: str, by: str = "line_no") -> DataFrame:
@@ -62,29 +70,42 @@ def latest(verdicts: DataFrame, *keys: str, by: str = "line_no") -> DataFrame:
     return kept.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
-def append_verdicts(verdicts: DataFrame, path: str) -> None:
-    """New verdicts as a further part of the log; an append is a set of whole files, so a crash leaves
-    no half line in it."""
-    verdicts.select(*VERDICTS.fieldNames()).write.mode("append").json(path, ignoreNullFields=False)
+def next_batch(path: str) -> int:
+    """The number of a log's next append."""
+    return 1 + max((int(name[6:]) for name in storage.children(path) if name.startswith("batch=") and name[6:].isdigit()), default=0)
 
 
-def record_paths(root: str | Path) -> list[Path]:
+def append_verdicts(verdicts: DataFrame, path: str, batch: int | None = None) -> int:
+    """New verdicts as a further append to the log, one folder for all pairs: batch=<n>/key=<pair>. A column `key`
+    tells the pair. An append is a set of whole files, so a crash leaves no half line; its number says that it
+    is newer than those before. Returns the number. One writer at a time."""
+    n = next_batch(path) if batch is None else batch
+    keyed = verdicts if "key" in verdicts.columns else verdicts.withColumn("key", F.lit("all"))
+    rows = keyed.select(*VERDICTS.fieldNames(), F.lit(n).alias("batch"), "key")
+    rows.write.mode("append").partitionBy("batch", "key").json(path, ignoreNullFields=False)
+    return n
+
+
+def record_paths(root: str | Path) -> list[str | Path]:
     """Record files below a folder, in order: those in a folder `records`, or in a folder named
     as the file up to its first double underscore."""
-    return sorted(p for p in Path(root).rglob("*.json") if p.parent.name in ("records", p.name.split("__")[0]))
+
+    def kept(f: str) -> bool:
+        *folders, name = f.split("/")
+        return bool(folders) and folders[-1] in ("records", name.partition("__")[0])
+
+    return [storage.tidy(storage.join(root, f)) for f in storage.files(root, ".json") if kept(f)]
 
 
 def read_record(path: str | Path) -> dict:
     """S13."""
-    return json.loads(Path(path).read_text())
+    return json.loads(storage.read_text(path))
 
 
-def write_record(record: dict, path: str | Path) -> Path:
+def write_record(record: dict, path: str | Path) -> str | Path:
     """K04."""
-    p = Path(path)
-    p.parent.mkdir(parents=True, exist_ok=True)
-    p.write_text(json.dumps(record, indent=2))
-    return p
+    storage.write_text(path, json.dumps(record, indent=2))
+    return storage.tidy(path)
 
 
 def pick_official(scores: DataFrame, pinned: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankloom import storage
 from rankloom.schemas import QUERIES
 from rankloom.sources.corpus import last_wins, read_lines
 
@@ -24,9 +25,9 @@ def own_queries(spark: SparkSession, spec: str | Path | list | tuple) -> DataFra
         rows = [(f"q{i}", str(t), i) for i, t in enumerate(spec)]
         return _own(spark.createDataFrame(rows, "qid string, text string, pos long"))
     path = Path(spec)
-    if not path.exists():
-        raise FileNotFoundError(path)
-    lines = read_lines(spark, path)
+    if not storage.exists(spec):
+        raise FileNotFoundError(spec)
+    lines = read_lines(spark, spec)
     if path.suffix != ".jsonl":
         text = F.regexp_replace("value", r"(?U)^\s+|\s+$", "")
         return _own(lines.select(F.concat(F.lit("q"), F.col("pos").cast("string")).alias("qid"), text.alias("text"), "pos"))
@@ -41,15 +42,14 @@ def write_query_set(path: str | Path, queries: DataFrame, generator: dict | None
     """A query set with the settings it was written with. Query sets are as large as asked for, so
     one document."""
     rows = [{"qid": r["qid"], "text": r["text"], "seed_doc_ids": list(r["seed_doc_ids"] or []), "quality": r["quality"]} for r in queries.orderBy("pos").toLocalIterator()]
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps({"generator": generator, "n_generated": n_generated, "queries": rows}, indent=2))
+    storage.write_text(path, json.dumps({"generator": generator, "n_generated": n_generated, "queries": rows}, indent=2))
 
 
 def read_query_set(spark: SparkSession, path: str | Path) -> tuple[DataFrame, int | None, dict | None] | None:
     """A written query set; none where the file is missing or holds no query (left by a crash)."""
-    if not Path(path).exists():
+    if not storage.exists(path):
         return None
-    data = json.loads(Path(path).read_text())
+    data = json.loads(storage.read_text(path))
     if not data["queries"]:
         return None
     rows = [(q["qid"], q["text"], q["seed_doc_ids"], q.get("quality"), i) for i, q in enumerate(data["queries"])]

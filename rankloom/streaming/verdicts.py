@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from rankloom.operators.rank import usable, win_matrix
 from rankloom.runtime import drop_path
 from rankloom.sources.logs import latest
+from rankloom.storage import children, complete
 
 KEY = ("query_set", "qid", "judge", "model_a", "model_b")
 
@@ -30,9 +31,7 @@ class VerdictStream:
         return f"{self.state}/batch={batch}"
 
     def _read(self, path: str) -> DataFrame | None:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-        there = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
-        return self.spark.read.parquet(path) if there else None
+        return self.spark.read.parquet(path) if complete(path) else None
 
     def _merge(self, rows: DataFrame, batch: int) -> None:
         new = latest(rows, *KEY)
@@ -41,7 +40,11 @@ class VerdictStream:
         both.write.mode("overwrite").parquet(self._path(batch))
         if batch >= 2:
             drop_path(self.spark, self._path(batch - 2))
-        self.last = batch
+
+    def _newest(self) -> int | None:
+        """The last version that was written whole; found on disk, so it is known after a restart as well."""
+        made = sorted((int(n[6:]) for n in children(self.state) if n.startswith("batch=")), reverse=True)
+        return next((n for n in made if complete(self._path(n))), None)
 
     def run_available(self) -> None:
         """Reads everything that is there and stops."""
@@ -50,10 +53,10 @@ class VerdictStream:
 
     def current(self) -> DataFrame:
         """The last verdict of every comparison."""
-        found = self._read(self._path(self.last)) if hasattr(self, "last") else None
-        if found is None:
+        newest = self._newest()
+        if newest is None:
             raise ValueError("nothing was read yet")
-        return found
+        return self.spark.read.parquet(self._path(newest))
 
     def wins(self) -> DataFrame:
         """A01 over the current state."""

@@ -124,7 +124,8 @@ def test_mock_column_equals_client(spark):
 def test_prompts(spark):
     with_task, without = prompts.judge_system("Find laws."), prompts.judge_system()
     assert with_task.replace("The retrieval task is: Find laws.\n", "") == without
-    assert prompts.task_sentence({"query": " q "}) == "q" and prompts.task_sentence("  ") is None and prompts.task_sentence(None) is None
+    told = lambda given, prompt: prompts.resolve_task(given, prompt)[0]
+    assert told(None, {"query": " q "}) == "q" and told(None, "  ") is None and told(None, None) is None and told(None, {"passage": "p"}) is None and told("", "x") == ""
     assert prompts.resolve_task("", "p") == ("", "config:task_description") and prompts.resolve_task(None, "p") == ("p", "corpus:task_prompt") and prompts.resolve_task(None, None) == (None, None)
     df = spark.createDataFrame([("q?", ["one"], ["two"])], "q string, a array<string>, b array<string>")
     assert df.select(prompts.judge_user("q", "a", "b", 5)).first()[0] == "Query: q?\n\nSystem A results:\n  1. one\n\nSystem B results:\n  1. two\n\nReply as JSON."

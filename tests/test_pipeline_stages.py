@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom import cli, ident
+from rankloom import cli, ident, storage
 from rankloom.chat import MockClient
 from rankloom.operators import dedup, generate, judge, metrics, publish, rank, results, retrieve, sampling
 from rankloom.plans.pipeline import predict, run
@@ -119,6 +119,47 @@ def test_appended_verdicts_read_back(spark, tmp_path):
     assert logs.read_verdict_log(spark, str(tmp_path / "log")).count() == 2
 
 
+def test_the_newest_append_counts(spark, tmp_path):
+    """Also where it is larger than an older one, and whatever order Spark packs the files in."""
+    path = str(tmp_path / "log")
+    row = lambda q, s, r="": (q, "query", "a", "b", s, ["A", "B"], r, [True, True], "t", "j", "s")
+    log = lambda rows: spark.createDataFrame(rows, VERDICTS).withColumn("key", F.lit("k"))
+    assert logs.append_verdicts(log([row(f"q{i}", 0.0) for i in range(3)]).coalesce(1), path) == 1
+    assert logs.append_verdicts(log([row(f"q{i}", 1.0, "long " * 1000) for i in range(3)]).coalesce(1), path) == 2
+    assert logs.append_verdicts(log([row("q0", 0.5)]).coalesce(1), path) == 3
+    got = {r["qid"]: r["score_a"] for r in logs.latest(logs.read_verdict_log(spark, path), "key", "qid").collect()}
+    assert got == {"q0": 0.5, "q1": 1.0, "q2": 1.0}
+
+
+def test_a_killed_run_asks_for_the_rest_only(spark, tmp_path):
+    """Verdicts are kept wave by wave; what is asked again after a crash is at most the wave that was under way."""
+    calls, broken = tmp_path / "calls", tmp_path / "broken"
+    broken.write_text("")
+
+    class Frail(Counting):
+        def chat(self, messages):
+            import os
+
+            if os.path.exists(str(broken)) and "query 17" in messages[-1]["content"]:
+                raise RuntimeError("line is dead")
+            return super().chat(messages)
+
+    met = judge.meetings(ranked(spark, 60), judge.model_pairs(spark, ["a", "b"]))
+    keys = spark.createDataFrame([(0, "k0")], "pair int, key string")
+    from rankloom.plans.pipeline import judged_once
+
+    ask = lambda: judged_once(spark, str(tmp_path / "log"), met, keys, Frail(calls), {"workers": 2, "guard": False, "wave": 4}, {})
+    with pytest.raises(Exception, match="line is dead"):
+        ask().collect()
+    kept = logs.read_verdict_log(spark, str(tmp_path / "log")).count() if storage.children(tmp_path / "log") else 0
+    broken.unlink()
+    before = len(calls.read_text())
+    assert len({r["qid"] for r in ask().collect()}) == 60
+    assert 0 < kept < 60 and len(calls.read_text()) - before == 2 * (60 - kept)
+    before = len(calls.read_text())
+    assert ask().count() == 60 and len(calls.read_text()) == before
+
+
 def test_official_scores(spark):
     scores = spark.createDataFrame([("m", "t", "external", 0.5), ("m", "t", "r1", 0.61234), ("n", "t", "external", 0.4), ("o", "t", "old", 0.1)], "model string, task string, revision string, score double")
     pinned = spark.createDataFrame([("m", "r1"), ("n", "r9"), ("o", "r2"), ("p", "r3"), ("x", "r4")], "model string, revision string")
@@ -226,6 +267,56 @@ def test_late_interaction(spark):
     assert {r["doc_id"]: r["score"] for r in retrieve.dense(v, q, "maxsim").collect()} == {"a": 2.0, "b": 1.0}
 
 
+def test_dense_equals_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    v, q = rng.integers(-3, 4, (40, 5)).astype(float), rng.integers(-3, 4, (7, 5)).astype(float)
+    docs = [(f"d{i:02}", x.tolist()) for i, x in enumerate(v)] + [("zero", [0.0] * 5), ("short", [1.0]), ("none", None)]
+    vectors = spark.createDataFrame(docs, "doc_id string, vec array<double>").repartition(3)
+    asked = spark.createDataFrame([(f"q{i}", x.tolist()) for i, x in enumerate(q)] + [("d00", v[0].tolist()), ("qn", None)], "qid string, vec array<double>")
+    score = {
+        "dense_dot": lambda a, b: a @ b, "dense_cos": lambda a, b: a @ b / np.sqrt(a @ a) / np.sqrt(b @ b) if (a @ a) * (b @ b) > 0 else None,
+        "dense_l2": lambda a, b: -np.sqrt(((a - b) ** 2).sum()), "dense_sign": lambda a, b: float(((a >= 0) == (b >= 0)).sum()), "dense_trunc_16": lambda a, b: a @ b,
+    }
+    for how, f in score.items():
+        got = {}
+        for r in retrieve.dense(vectors, asked, how, k=6).collect():
+            got.setdefault(r["qid"], []).append((r["rank"], r["doc_id"], r["score"]))
+        for name, x in [(f"q{i}", x) for i, x in enumerate(q)] + [("d00", v[0])]:
+            every = [(d, f(np.array(x), np.array(w))) for d, w in docs if w is not None and len(w) == 5 and d != name]
+            want = sorted(((d, round(s, 6) + 0.0) for d, s in every if s is not None), key=lambda z: (-z[1], z[0]))[:6]
+            assert [(d, s) for _, d, s in sorted(got[name])] == want, how
+    assert retrieve.dense(vectors, asked.limit(0)).collect() == []
+
+
+def test_vectors_and_imported_predictions_in_a_run(spark, tmp_path):
+    folder = make_folder(tmp_path)
+    names = [f"D{i:02}.txt" for i in range(12)]
+    table = lambda rows, s, p: spark.createDataFrame(rows, s).write.parquet(str(tmp_path / p)) or str(tmp_path / p)
+    docs = table([(n, [float(i % 4 == j) for j in range(4)]) for i, n in enumerate(names)], "doc_id string, vec array<double>", "docs.vec")
+    asked = table([("q0", [1.0, 0.0, 0.0, 0.0]), ("q1", [0.0, 0.0, 1.0, 0.0])], "qid string, vec array<double>", "asked.vec")
+    (tmp_path / "pred.json").write_text(json.dumps({"default": {"test": {"q0": {"D00.txt": 2.0, "D04.txt": 1.0}, "q1": {"D02.txt": 1.0}, "other": {"D01.txt": 1.0}}}}))
+
+    def encode(texts):
+        return [[float(w in t) for w in ("solar", "trade", "fish", "garden")] for t in texts]
+
+    models = [f"vectors:given={docs},{asked}", f"file:made={tmp_path / 'pred.json'}", retrieve.Vectors("coded", encode=encode, similarity="dense_dot"), "bm25"]
+    r = run(spark, folder, models, MockClient(), queries=["solar power", "deep fish"], output_folder=tmp_path / "out", cache_folder=tmp_path / "cache", bootstrap=10)
+    assert {x["model"] for x in r.record["ratings"]} <= {"given", "made", "coded", "bm25"} and r.record["config"]["model_revisions"]["made"] == "imported"
+    hits = {m: spark.read.parquet(p) for m, p in zip(r.record["config"]["models"], ident.Layout(str(tmp_path / "cache")).of_record(r.record)["predictions"])}
+    assert [x["doc_id"] for x in hits["given"].filter("qid = 'q0'").orderBy("pos").limit(3).collect()] == ["D00.txt", "D04.txt", "D08.txt"]
+    assert [x["doc_id"] for x in hits["made"].filter("qid = 'q0'").orderBy("pos").collect()] == ["D00.txt", "D04.txt"] and hits["made"].select("qid").distinct().count() == 2
+    assert hits["coded"].filter("qid = 'q1'").orderBy("pos").first()["doc_id"] == "D02.txt"
+    late = retrieve.Vectors("late", encode=lambda ts: [[v, v] for v in encode(ts)], similarity="maxsim")
+    assert predict(spark, folder, late, queries=["solar power"], cache_folder=tmp_path / "cache") != predict(spark, folder, "bm25", queries=["solar power"], cache_folder=tmp_path / "cache")
+    for bad in ("nothing", "file:x", "vectors:x=a"):
+        with pytest.raises(ValueError, match="unknown"):
+            retrieve.resolve(bad)
+    with pytest.raises(ValueError, match="one name"):
+        run(spark, folder, ["bm25", "bm25"], MockClient())
+
+
 def test_missing_hits_and_unknown_documents(spark):
     docs, asked = library(spark, 3), query_frame(spark, ["a", "b"])
     hits = spark.createDataFrame([("m", "q0", "D1", 1.0, 0), ("m", "q0", "gone", 2.0, 1)], "model string, qid string, doc_id string, score double, pos long")
@@ -344,9 +435,10 @@ def test_run_twice_asks_once(spark, tmp_path):
     assert len(calls.read_text()) == n and again.record == r.record
     more = run(spark, tmp_path / "lib", ["bm25", "tfidf"], Counting(calls), **(args | {"top_k": 3}))
     assert len(calls.read_text()) > n and more.path != r.path  # another key
-    files = [p for g in ident.cache_layout(r.record, tmp_path / "cache").values() for p in g]
-    made = [p for p in files if p.exists()]
-    assert len(files) == 6 and len([p for p in made if p.parent.parent.name == "verdicts"]) == 3
+    files = [p for g in ident.Layout(str(tmp_path / "cache")).of_record(r.record).values() for p in g]
+    assert len(files) == 6 and publish.present_files(files) == files
+    log = logs.read_verdict_log(spark, str(tmp_path / "cache" / "verdicts" / "corpus=lib"))
+    assert log.select("key").distinct().count() == 4  # one log: three pairs, and one of the run with another depth
     assert results.load_results(tmp_path / "out").to_dataframe(spark).count() == results.records_frame(spark, tmp_path / "out").count()
     assert r.agreement() == {"error": "local corpus: no official scores to compare with"}
     out = publish.prepare(spark, tmp_path / "out", tmp_path / "cache", tmp_path / "clone")
@@ -388,7 +480,7 @@ def test_record_paths(tmp_path):
 
 
 def test_identities():
-    assert ident.config_hash({"a": 1, "b": [2]}) == ident.config_hash({"b": [2], "a": 1, "config_hash": "x"})
+    assert ident.config_hash({"a": 1, "b": [2]}) == ident.config_hash({"b": [2], "a": 1, "config_hash": "x"}) != ident.config_hash({"a": "1", "b": [2]})
     assert ident.slug("a/b@c") == "a_b_c" and ident.short_name("org/x y") == "x-y" and ident.short_name(None) == ""
 
     class C:
@@ -397,11 +489,21 @@ def test_identities():
     assert ident.client_id(C()) == "m"
     C.temperature = 0.0
     assert ident.client_id(C()).startswith("m+")
-    key = lambda a, b: ident.verdict_key("j", "s", 10, 2000, "q", a, "r", b, "r")
-    assert key("x", "y") != key("y", "x") and len(key("x", "y")) == 12
+    contest = ident.Contest("j", "s", 10, 2000, "q")
+    assert contest.key("x@r", "y@r") != contest.key("y@r", "x@r") and contest.key("x@r", "y@r") == ident.Contest("j", "s", 10, 2000, "q").key("x@r", "y@r")
     e = {"generator_model": "o/gen x", "judge_model": "j", "arm": "synthetic", "n_queries": 5, "seed": 0, "config_hash": "h"}
-    assert str(ident.record_path("out", "T", e)) == "out/T/T__j__gen-x__q5-s0-h.json"
-    assert ident.record_path("out", "T", e | {"arm": "own"}).name == "T__j__own-queries__q5-s0-h.json"
+    assert str(ident.record_path("out", "T", e)) == "out/T/T__j__gen-x__5q__seed0__h.json"
+    assert ident.record_path("s3a://out", "T", e | {"arm": "own"}) == "s3a://out/T/T__j__own__5q__seed0__h.json"
+    assert ident.package_version("pyspark") and ident.package_version("no-such-package") is None and ident.git_revision("/") is None
+
+
+def test_files_of_a_folder(spark, tmp_path):
+    storage.write_text(tmp_path / "a" / "x.json", "é")
+    storage.write_text(tmp_path / "a" / "x.json", "é2")
+    storage.write_text(str(tmp_path / "a-b" / "y.json"), "2")
+    assert storage.read_text(tmp_path / "a" / "x.json") == "é2" and storage.files(tmp_path, ".json") == ["a/x.json", "a-b/y.json"]
+    assert storage.children(tmp_path) == ["a", "a-b"] and storage.children(tmp_path / "none") == [] and not storage.exists(tmp_path / "none")
+    assert storage.files(tmp_path / "none") == [] and not storage.complete(tmp_path)
 
 
 def test_publication_is_refused_when_files_are_missing(spark, tmp_path):
@@ -435,6 +537,9 @@ def test_stream_state(spark, tmp_path):
     with pytest.raises(ValueError, match="nothing"):
         s.current()
     s.run_available()
+    s = VerdictStream(spark, str(tmp_path / "log"), spark.createDataFrame([], schema).schema, str(tmp_path / "state"), str(tmp_path / "check"))
+    s.run_available()  # a restart without a new file finds the state
+    assert s.current().count() == 2
     part([row(4, "q2", 1.0), row(3, "q2", 0.5), row(5, "q3", 1.0, (False,))])
     s.run_available()
     assert {r["qid"]: r["line_no"] for r in s.current().collect()} == {"q1": 1, "q2": 4, "q3": 5}

@@ -138,15 +138,29 @@ def test_correlations_by_hand():
 
 def test_correlate_document():
     names = [f"m{i}" for i in range(25)]
-    gym = {m: float(i) for i, m in enumerate(names)}
-    got = A.correlate(gym, gym | {"other": 1.0}, bootstrap=50)
+    ours = {m: float(i) for i, m in enumerate(names)}
+    got = A.correlate(ours, ours | {"other": 1.0}, bootstrap=50)
     assert got["n_models"] == 25 and got["spearman_rho"] == pytest.approx(1) and got["spearman_top10"] == pytest.approx(1) and got["kendall_ap"] == 1
     assert got["own_ranking"] == names[::-1] and got["spearman_ci95"][0] == pytest.approx(1)
-    assert A.correlate({"a": 1.0, "b": 2.0}, gym)["error"].startswith("need >=3")
+    assert A.correlate({"a": 1.0, "b": 2.0}, ours)["error"].startswith("need >=3")
     five = dict(zip("abcde", [1.0, 2, 3, 4, 5]))
     assert A.correlate(five, five)["spearman_top10"] is None
 
 
+def test_resamples_equal_one_stream_drawn_one_by_one():
+    import math
+
+    rng = np.random.default_rng(3)
+    g, t = rng.integers(0, 4, 7).astype(float), rng.integers(0, 5, 7).astype(float)
+    one, want = np.random.default_rng(9), []
+    for _ in range(300):
+        pick = one.integers(0, 7, 7)
+        if len(set(pick)) >= 3 and not math.isnan(r := A.spearman(g[pick], t[pick])):
+            want.append(r)
+    got = A.resampled_spearman(g, t, np.random.default_rng(9).integers(0, 7, (300, 7)), block=64)
+    assert np.allclose(got, want)
+
+
 def test_frames_equal_driver_statistics(spark):
     rng = np.random.default_rng(4)
     rows = [(k, f"m{i}", float(rng.integers(0, 6)), float(rng.integers(0, 6))) for k in "xy" for i in range(14)]
