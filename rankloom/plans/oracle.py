@@ -47,7 +47,7 @@ def _lists(asked: str) -> str:
   ON l.model = m.model AND l.qid = q.qid)"""
 
 
-_MET = f"""{_DOCS}, {_ASKED}, {_SEARCH}, {_HITS}, {_BEST}, {_MODELS}, {_PAIRS}, {_lists("search")},
+_MET = f"""{_DOCS}, {_ASKED}, told AS (SELECT * FROM asked WHERE text IS NOT NULL), {_HITS}, {_BEST}, {_MODELS}, {_PAIRS}, {_lists("told")},
   met AS (SELECT p.pair, p.model_a, p.model_b, a.qid, a.query, a.ids AS ids_a, a.texts AS texts_a, b.ids AS ids_b, b.texts AS texts_b,
     (a.ids = b.ids AND a.texts = b.texts) AS same FROM pairs p JOIN lists a ON a.model = p.model_a JOIN lists b ON b.model = p.model_b AND b.qid = a.qid)"""
 
@@ -110,6 +110,9 @@ def _rho(src: str) -> str:
     return f"SELECT task, count(*) AS n, round(corr(rg, rt), 6) AS rho FROM (SELECT task, {rank.format('g')} AS rg, {rank.format('t')} AS rt FROM {src}) GROUP BY task"
 
 
+_COS = "list_dot_product(q.v, d.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(d.v, d.v)))"
+
+
 def _dense(score: str) -> str:
     return f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), scored AS (SELECT q.vec_id AS qid, d.vec_id AS doc_id, round({score}, 6) AS score
   FROM e d JOIN e q ON q.vec_id % 50 = 0 AND d.vec_id <> q.vec_id) {_TOP}"""
@@ -150,15 +153,16 @@ SQL: dict[str, str] = {
   scored AS (SELECT qid, doc_id, round(sum(w * idf / qnorm) / any_value(norm), 6) AS score FROM w JOIN qw USING (token) JOIN qn USING (qid) JOIN norm USING (doc_id) WHERE norm > 0 AND qnorm > 0 GROUP BY qid, doc_id) {_TOP}""",
     "jaccard_topk": f"""WITH {_DOCS}, {_ASKED}, {_SEARCH}, {_TOKENS}, n AS (SELECT doc_id, count(*) AS n FROM post GROUP BY doc_id), m AS (SELECT qid, count(*) AS m FROM qt GROUP BY qid),
   x AS (SELECT qid, doc_id, count(*) AS x FROM post JOIN qt USING (token) GROUP BY qid, doc_id), scored AS (SELECT qid, doc_id, round(x / (n + m - x), 6) AS score FROM x JOIN n USING (doc_id) JOIN m USING (qid)) {_TOP}""",
-    "dense_cos_topk": _dense("list_dot_product(q.v, d.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(d.v, d.v)))"),
+    "dense_cos_topk": _dense(_COS),
     "dense_dot_topk": _dense("list_dot_product(q.v, d.v)"),
     "dense_l2_topk": _dense("-list_distance(q.v, d.v)"),
     "dense_trunc_16_topk": _dense("list_dot_product(q.v[1:16], d.v[1:16])"),
     "dense_sign_topk": _dense("CAST(len(list_filter(list_zip(q.v, d.v), lambda p: (p[1] >= 0) = (p[2] >= 0))) AS DOUBLE)"),
-    "self_match_drop": "SELECT q.vec_id AS qid, count(*) AS n FROM embeddings q JOIN embeddings d ON q.label = d.label AND q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1",
+    "self_match_drop": f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), scored AS (SELECT q.vec_id AS qid, d.vec_id AS doc_id, round({_COS}, 6) AS score FROM e d JOIN e q ON q.vec_id % 50 = 0)
+  SELECT qid, doc_id, score FROM ({_TOP}) WHERE qid <> doc_id""",
     "ranked_lists": f"""WITH {_DOCS}, {_ASKED}, {_HITS}, {_BEST}, {_MODELS}, {_lists("asked")} SELECT model, qid, coalesce(array_to_string(ids, ','), '') AS docs, CAST(coalesce(list_sum(list_transform(texts, lambda t: length(t))), 0) AS INTEGER) AS chars FROM lists""",
     "missing_hits_left_join": f"WITH {_DOCS}, {_ASKED}, {_HITS}, {_BEST}, {_MODELS}, {_lists('asked')} SELECT model, count(*) AS n, count(*) FILTER (len(ids) = 0) AS empty FROM lists GROUP BY model",
-    "hits_outside_corpus": f"WITH {_DOCS}, {_HITS}, {_BEST} SELECT model, count(*) AS n FROM best WHERE doc_id NOT IN (SELECT doc_id FROM docs) GROUP BY model",
+    "hits_outside_corpus": f"WITH {_DOCS}, {_HITS}, {_BEST} SELECT model, count(*) AS n FROM best WHERE doc_id NOT IN (SELECT doc_id FROM docs WHERE length(text) >= 300) GROUP BY model",
     "ndcg_at_10": f"""WITH {_ASKED}, {_HITS}, q AS (SELECT DISTINCT qid, unnest(seed_doc_ids) AS doc_id FROM asked), lab AS (SELECT * FROM q WHERE doc_id IS NOT NULL),
   best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model, qid ORDER BY score DESC, doc_id) AS rank FROM hits) WHERE rank <= 10),
   ideal AS (SELECT qid, sum(1 / log2(rank + 1)) AS best FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY doc_id) AS rank FROM lab) WHERE rank <= 10 GROUP BY qid),
@@ -171,7 +175,7 @@ SQL: dict[str, str] = {
     "model_pairs": f"WITH {_MODELS}, {_PAIRS} SELECT * FROM pairs",
     "pairs_by_query": "WITH l AS (SELECT DISTINCT model, qid FROM ranked) SELECT a.model AS model_a, b.model AS model_b, count(*) AS n FROM l a JOIN l b ON a.qid = b.qid AND a.model < b.model GROUP BY 1, 2",
     "identical_retrieval": f"WITH {_MET} SELECT model_a, model_b, count(*) AS n, count(*) FILTER (same) AS same FROM met GROUP BY 1, 2",
-    "judge_prompt": f"WITH {_MET}, {_prompts(100)} SELECT pair, qid, CAST(turn AS INTEGER) AS turn, sha256(usr) AS prompt_hash, CAST(length(usr) AS INTEGER) AS n_chars FROM prompts",
+    "judge_prompt": f"WITH {_MET}, {_prompts(2000)} SELECT pair, qid, CAST(turn AS INTEGER) AS turn, sha256(usr) AS prompt_hash, CAST(length(usr) AS INTEGER) AS n_chars FROM prompts",
     "mock_judge_raw": f"WITH {_MET}, {_JUDGED} SELECT pair, qid, CAST(turn AS INTEGER) AS turn, winner, ok FROM answers",
     "judged_verdicts": f"""WITH {_MET}, {_JUDGED}, t AS (SELECT pair, qid, max(winner) FILTER (turn = 1) AS w1, max(winner) FILTER (turn = 2) AS w2, count(*) FILTER (ok) AS n FROM answers GROUP BY 1, 2)
   SELECT met.qid, model_a, model_b, CASE WHEN same THEN 0.5 ELSE CAST(({_OUT.format("w1")} + 1 - {_OUT.format("w2")}) / 2 AS DOUBLE) END AS score_a, CASE WHEN same THEN 'identical' ELSE w1 || ',' || w2 END AS raw,
@@ -199,9 +203,11 @@ SQL: dict[str, str] = {
     "tau_ap": f"WITH {_AGREE}, p AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY t DESC, model) AS i FROM x), s AS (SELECT b.task, b.i, avg(CASE WHEN a.g > b.g THEN 1.0 ELSE 0.0 END) AS s FROM p a JOIN p b ON a.task = b.task AND a.i < b.i GROUP BY 1, 2) SELECT task, round(2 * avg(s) - 1, 6) AS tau_ap FROM s GROUP BY task",
     "spearman_top10": f"WITH {_AGREE}, p AS (SELECT *, count(*) OVER (PARTITION BY task) AS n, row_number() OVER (PARTITION BY task ORDER BY t DESC, model) AS i FROM x), y AS (SELECT * FROM p WHERE n >= 12 AND i <= 10) {_rho('y')}",
     "official_score_pick": f"WITH {_USABLE}, s AS ({_means('v', 'task', 'judge')}), pin AS (SELECT model, min(judge) AS pin FROM s GROUP BY model) SELECT model, task, revision, score FROM (SELECT model, task, judge AS revision, score, row_number() OVER (PARTITION BY model, task ORDER BY (judge <> pin), judge DESC) AS r FROM s JOIN pin USING (model)) WHERE r = 1",
-    "truth_assembly": f"""WITH {_USABLE}, {_PANEL}, o AS (SELECT * FROM v WHERE task = 'OrchardForum'), s AS ({_means("o", "task", "judge")}), pin AS (SELECT model, min(judge) AS pin FROM s GROUP BY model), f AS (SELECT s.* FROM s JOIN pin ON s.model = pin.model AND s.judge = pin.pin),
-  p AS ({_means("pv")}), m AS (SELECT model_a AS model FROM verdicts_n UNION SELECT model_b FROM verdicts_n)
-  SELECT m.model, round(coalesce(f.score, p.score) * 100, 2) AS score, CASE WHEN f.score IS NOT NULL THEN f.judge ELSE 'r1' END AS revision, f.score IS NOT NULL AS official FROM m LEFT JOIN f ON f.model = m.model LEFT JOIN p ON p.model = m.model WHERE coalesce(f.score, p.score) IS NOT NULL""",
+    "truth_assembly": f"""WITH {_USABLE}, {_PANEL}, s AS ({_means("v", "task", "judge")}), pin AS (SELECT model, min(judge) AS pin FROM s GROUP BY model),
+  f AS (SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY model, task ORDER BY (judge <> pin), judge DESC) AS r FROM s JOIN pin USING (model)) WHERE r = 1),
+  p AS ({_means("pv")}), m AS (SELECT model_a AS model FROM verdicts_n UNION SELECT model_b FROM verdicts_n), a AS (SELECT * FROM m CROSS JOIN (SELECT DISTINCT task FROM s))
+  SELECT a.task, a.model, round(coalesce(f.score, p.score) * 100, 2) AS score, CASE WHEN f.score IS NOT NULL THEN f.judge ELSE 'r1' END AS revision, f.score IS NOT NULL AS official FROM a LEFT JOIN f ON f.model = a.model AND f.task = a.task
+  LEFT JOIN p ON p.model = a.model WHERE coalesce(f.score, p.score) IS NOT NULL""",
     "leaderboard": f"WITH {_USABLE}, s AS ({_means('v')}) SELECT model AS name, score AS rating FROM s ORDER BY rating DESC, name",
     "distinct_files": "SELECT DISTINCT path FROM (SELECT 'queries/' || query_set || '.json' AS path FROM verdicts UNION ALL SELECT 'verdicts/' || task || '/' || regexp_replace(judge, '[^A-Za-z0-9._-]', '_', 'g') FROM verdicts) ORDER BY path",
     "windowed_outcomes": "SELECT date_trunc('day', judged_at)::TIMESTAMP AS day, judge, count(*) AS n, count(*) FILTER (score_a = 0.5) AS ties, count(*) FILTER (list_bool_or(list_transform(parsed_ok, lambda x: NOT x))) AS failed FROM verdicts GROUP BY 1, 2",
@@ -224,5 +230,48 @@ _WLT = SQL["win_loss_tie"]
 SQL["record_explode"] = f"SELECT 'arena' AS task, 'mock' AS judge, 'own' AS arm, CAST(100 AS BIGINT) AS n_queries, model, 'r1' AS revision, wins, losses, ties, CAST(n AS BIGINT) AS n FROM ({_WLT})"
 
 
+# Every query that is similar to another is looked at in order: kept unless a kept earlier one is similar.
+SQL["greedy_dedup"] = f"""WITH RECURSIVE {_ASKED}, told AS (SELECT * FROM asked WHERE text IS NOT NULL),
+  sets AS (SELECT qid, pos, list_sort(list_distinct({_TOK})) AS t FROM told), nodes AS (SELECT t, min(pos) AS p FROM sets WHERE len(t) > 0 GROUP BY t),
+  edges AS (SELECT a.p AS early, b.p AS late FROM nodes a JOIN nodes b ON a.p < b.p AND len(list_intersect(a.t, b.t)) >= 0.8 * (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) - 1e-9),
+  line AS (SELECT p, early, row_number() OVER (ORDER BY p) AS i FROM (SELECT p, coalesce(list(early) FILTER (early IS NOT NULL), []) AS early FROM (SELECT p FROM nodes) LEFT JOIN edges ON late = p GROUP BY p)),
+  walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS kept UNION ALL SELECT l.i, CASE WHEN list_has_any(kept, early) THEN kept ELSE list_append(kept, p) END FROM walk w JOIN line l ON l.i = w.i + 1),
+  last AS (SELECT unnest(arg_max(kept, i)) AS pos FROM walk) SELECT qid, pos FROM sets WHERE len(t) = 0 OR pos IN (SELECT pos FROM last)"""
+_STRAY = r"[\r\n\x0B\f\x{85}\x{2028}\x{2029}]"
+_LAST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_set, qid, judge, model_a, model_b ORDER BY line_no DESC) AS r FROM verdicts_n) WHERE r = 1)"
+_TASKS = f"""sides AS (SELECT task, model_a AS m, score_a AS s FROM v UNION ALL SELECT task, model_b, 1 - score_a FROM v),
+  t AS (SELECT task, m AS model, round(1000 * avg(s), 3) AS rating, CAST(count(*) FILTER (s > 0.5) AS DOUBLE) AS wins, CAST(count(*) FILTER (s < 0.5) AS DOUBLE) AS losses, CAST(count(*) FILTER (s = 0.5) AS DOUBLE) AS ties, count(*) AS n FROM sides GROUP BY task, m)"""
+_FILES = "SELECT DISTINCT regexp_replace(judge, '[^A-Za-z0-9._-]', '_', 'g') || '/' || query_set AS path, sha256(task) AS sha FROM {0}"
+SQL |= {
+    "jsonl_corpus": f"WITH {_DOCS} SELECT doc_id, text FROM docs",
+    "corpus_digest": f"""WITH {_DOCS}, h AS (SELECT sha256(pos || chr(31) || doc_id || chr(31) || text) AS h FROM docs), s AS (SELECT count(*) AS n, {", ".join(f"sum(CAST('0x' || substr(h, {1 + 15 * k}, 15) AS HUGEINT)) AS s{k}" for k in range(4))} FROM h)
+  SELECT substr(sha256(n || '|' || s0 || '|' || s1 || '|' || s2 || '|' || s3), 1, 12) AS digest FROM s""",
+    "own_queries_txt": f"WITH {_ASKED}, l AS (SELECT {_strip(f"regexp_replace(text, '{_STRAY}', ' ', 'g')")} AS text FROM asked WHERE text IS NOT NULL) SELECT text, count(*) AS n FROM l WHERE text <> '' GROUP BY text",
+    "own_queries_jsonl": f"WITH {_ASKED} SELECT qid, text FROM asked WHERE text IS NOT NULL",
+    "query_set_file": f"""WITH {_ASKED}, g AS (SELECT text, quality, seed_doc_ids, row_number() OVER (ORDER BY pos) - 1 AS p FROM asked WHERE {_OKAY} AND coalesce(quality, 0) >= 3)
+  SELECT 'q' || p AS qid, text, quality, CAST(coalesce(len(seed_doc_ids), 0) AS INTEGER) AS n_seeds, CAST(160 AS INTEGER) AS n_generated FROM g WHERE p < 100""",
+    "prediction_file_hits": f"WITH {_ASKED}, {_SEARCH}, {_HITS} SELECT model, qid, doc_id, score FROM hits WHERE model = (SELECT min(model) FROM ranked) AND qid IN (SELECT qid FROM search)",
+    "verdict_log_appends": f"WITH {_named('verdicts')}, l AS {_LAST} SELECT query_set, qid, judge, model_a, model_b, score_a, coalesce(array_to_string(list_transform(raw, lambda x: coalesce(x, '-')), ','), '') AS raw, CAST(coalesce(len(parsed_ok), 0) AS INTEGER) AS orders FROM l",
+    "corrupt_verdict_lines": "SELECT coalesce(judge, '') AS judge, count(*) AS n, round(sum(score_a), 2) AS score FROM verdicts GROUP BY 1",
+    "record_files": f"WITH {_USABLE}, {_TASKS} SELECT task, 'own' AS arm, model, 'r1' AS revision, rating, wins, losses, ties, n, CAST(0.5 AS DOUBLE) AS ndcg_at_10 FROM t",
+    "leaderboard_text": f"""WITH {_USABLE}, {_TASKS}, a AS (SELECT model, sum(rating) AS rating, sum(wins) AS w, sum(losses) AS l, sum(ties) AS d, CAST(sum(n) AS DOUBLE) AS n FROM t GROUP BY model),
+  b AS (SELECT row_number() OVER (ORDER BY rating DESC, model) AS i, *, count(*) OVER () AS m FROM a), x AS (SELECT i + 2 AS line, printf('%-5d%-38s%8.0f%7.0f%5.0f%5.0f%5.0f', i, substr(split_part(model, '/', -1), 1, 36), rating, n / 2, w, l, d) AS printed FROM b
+  UNION ALL SELECT unnest([0, 1, 2]), unnest([repeat('=', 78), 'Rank ' || rpad('Model', 38, ' ') || '  Rating    CI±    W    L    T', repeat('-', 78)]) UNION ALL SELECT count(*) + 3, repeat('=', 78) FROM a) SELECT CAST(line AS INTEGER) AS line, printed FROM x""",
+    "extract_json_shapes": """SELECT event_id, CAST(shape AS INTEGER) AS shape, CASE shape WHEN 0 THEN '' WHEN 1 THEN 'outer' WHEN 4 THEN 'last' ELSE array_to_string(list_sort(json_keys(props)), ',') END AS members FROM events CROSS JOIN (SELECT unnest(range(5)) AS shape)""",
+    "quality_shapes": f"""WITH {_ASKED} SELECT qid, CAST(shape AS INTEGER) AS shape, CAST(CASE WHEN shape <= 2 THEN quality WHEN shape = 4 AND quality >= 0 THEN -quality ELSE 3 END AS INTEGER) AS quality
+  FROM asked CROSS JOIN (SELECT unnest(range(6)) AS shape) WHERE quality IS NOT NULL""",
+    "rated_queries": SQL["mock_quality"].replace(" AS quality FROM", " AS quality, CAST(0 AS INTEGER) AS unreadable FROM"),
+    "ci_half_width": f"SELECT lang, round((quantile_cont(CAST(n_chars AS DOUBLE), 0.975) - quantile_cont(CAST(n_chars AS DOUBLE), 0.025)) / 2, 6) AS half FROM documents WHERE lang IS NOT NULL GROUP BY lang",
+    "requested_verdicts": f"""WITH {_named("verdicts")}, {_named("panel")}, l AS (SELECT qid, model_a, model_b, score_a FROM (SELECT *, row_number() OVER (PARTITION BY qid, model_a, model_b ORDER BY line_no DESC) AS r FROM verdicts_n) WHERE r = 1)
+  SELECT qid, model_a, model_b, model_a || '|' || model_b AS pair, score_a FROM l JOIN (SELECT DISTINCT qid, model_a, model_b FROM panel_n) USING (qid, model_a, model_b)""",
+    "new_files": f"{_FILES.format('panel')} EXCEPT {_FILES.format('verdicts')}",
+    "missing_files": f"SELECT path FROM ({_FILES.format('panel')}) EXCEPT SELECT path FROM ({_FILES.format('verdicts')})",
+    "strict_lists": f"""WITH {_DOCS.replace("docs AS", "all_docs AS", 1)}, docs AS (SELECT * FROM all_docs WHERE length(text) >= 300), {_ASKED}, {_HITS.replace("hits AS", "all_hits AS", 1)}, hits AS (SELECT * FROM all_hits WHERE doc_id IN (SELECT doc_id FROM docs)),
+  {_BEST}, {_MODELS}, {_lists("asked")} SELECT model, qid, coalesce(array_to_string(ids, ','), '') AS docs FROM lists""",
+    "logs_union": "SELECT judge, count(*) AS n, count(logged_at) AS logged FROM (SELECT judge, logged_at FROM verdicts UNION ALL SELECT judge, NULL FROM panel) GROUP BY judge",
+    "maxsim_topk": _dense("list_sum(list_transform(range(4), lambda i: list_max(list_transform(range(4), lambda j: list_dot_product(q.v[16 * i + 1:16 * i + 16], d.v[16 * j + 1:16 * j + 16])))))"),
+}
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rankloom.chat import MockClient
 from rankloom.functions import jsonx, prompts, text
-from rankloom.operators import agreement, dedup, generate, judge, metrics, rank, results, retrieve, sampling
+from rankloom.ident import slug as text_slug
+from rankloom.operators import agreement, dedup, generate, judge, metrics, publish, rank, results, retrieve, sampling
 from rankloom.plans.oracle import oracle_sql  # noqa: F401
 from rankloom.runtime import shared_dir, written
+from rankloom.schemas import VERDICTS
 from rankloom.sources import corpus, logs
+from rankloom.sources import queries as queries_source
 from rankloom.streaming import verdicts as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,7 +66,14 @@ def _verdicts(spark, sf) -> DataFrame:
 
 
 def _models(spark, sf) -> list[str]:
-    return sorted(r[0] for r in _t(spark, sf, "ranked").select("model").distinct().limit(1001).collect())  # the roster
+    found = [r[0] for r in _t(spark, sf, "ranked").select("model").distinct().limit(ROSTER + 1).collect()]
+    if len(found) > ROSTER:
+        raise ValueError(f"more than {ROSTER} models in the roster")
+    return sorted(found)
+
+
+#: Models a roster may have.
+ROSTER = 10_000
 
 
 def _r(c: str | Column, n: int = 6) -> Column:
@@ -208,10 +220,10 @@ for _how in ("dense_cos", "dense_dot", "dense_l2", "dense_trunc_16", "dense_sign
 
 @query
 def self_match_drop(spark, sf):
-    """F03 on a table where queries are documents: counts before and after."""
-    v = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("vec_id").alias("qid"), F.col("label").alias("model"))
-    near = v.select("qid", "model").join(v.select("doc_id", "model"), "model").filter("qid % 50 = 0")
-    return logs.drop_self(near).groupBy("qid").agg(F.count("*").alias("n"))
+    """F03 where queries are documents: the nearest ones without the query itself."""
+    vectors = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
+    asked = vectors.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), "vec")
+    return logs.drop_self(retrieve.dense(vectors, asked, "dense_cos", drop_self=False, k=10)).select("qid", "doc_id", "score")
 
 
 @query
@@ -230,8 +242,9 @@ def missing_hits_left_join(spark, sf):
 
 @query
 def hits_outside_corpus(spark, sf):
+    """Hits that lie outside the part of the corpus with long texts."""
     best = retrieve.ranked_hits(_hits(spark, sf), 10, ("model", "qid"), "pos")
-    return best.join(_docs(spark, sf).select("doc_id"), "doc_id", "left_anti").groupBy("model").agg(F.count("*").alias("n"))
+    return best.join(_docs(spark, sf).filter(F.length("text") >= 300).select("doc_id"), "doc_id", "left_anti").groupBy("model").agg(F.count("*").alias("n"))
 
 
 @query
@@ -273,8 +286,7 @@ def pairs_by_query(spark, sf):
 def pair_subset_semi(spark, sf):
     pairs = judge.model_pairs(spark, _models(spark, sf))
     asked = _asked(spark, sf)
-    qids = [r["qid"] for r in asked.orderBy("pos").select("qid").limit(sampling.PLAN_IDS).collect()]
-    chosen = sampling.pair_subset(spark, pairs.count(), qids, 5, 0)
+    chosen = sampling.pair_subset(spark, pairs.count(), sampling.ids(asked, "qid", "pos"), 5, 0)
     return asked.select("qid").join(F.broadcast(pairs)).join(chosen, ["qid", "pair"], "left_semi").groupBy("model_a", "model_b").agg(F.count("*").alias("n"))
 
 
@@ -418,9 +430,7 @@ def _means(log: DataFrame, *by: str) -> DataFrame:
 
 def _agreeing(spark, sf) -> DataFrame:
     """(task, model, g, t): mean scores by task in the verdict log against those of the whole panel."""
-    gym = _means(rank.usable(_verdicts(spark, sf)), "task").select("task", "model", F.col("score").alias("g"))
-    truth = _means(rank.usable(_named(_t(spark, sf, "panel")))).select("model", F.col("score").alias("t"))
-    return gym.join(truth, "model")
+    return agreement.shared_scores(_means(rank.usable(_verdicts(spark, sf)), "task"), _means(rank.usable(_named(_t(spark, sf, "panel")))), ("task",))
 
 
 @query
@@ -457,9 +467,11 @@ def official_score_pick(spark, sf):
 
 @query
 def truth_assembly(spark, sf):
-    scores = _means(rank.usable(_verdicts(spark, sf)).filter("task = 'OrchardForum'"), "task", "judge").withColumnRenamed("judge", "revision")
+    """Official scores of every task, and the panel's for models that have none there."""
+    scores = _means(rank.usable(_verdicts(spark, sf)), "task", "judge").withColumnRenamed("judge", "revision")
     official = logs.pick_official(scores, scores.groupBy("model").agg(F.min("revision").alias("revision")))
-    models = rank.model_names(_verdicts(spark, sf)).withColumn("revision", F.lit("r1"))
+    tasks = scores.select("task").distinct()
+    models = rank.model_names(_verdicts(spark, sf)).withColumn("revision", F.lit("r1")).join(F.broadcast(tasks))
     return logs.truth_for(models, official, _means(rank.usable(_named(_t(spark, sf, "panel")))))
 
 
@@ -482,10 +494,229 @@ def record_explode(spark, sf):
 
 @query
 def distinct_files(spark, sf):
-    from rankloom.operators.publish import distinct_files as files
-
     lists = _t(spark, sf, "verdicts").select(F.array(F.concat(F.lit("queries/"), F.col("query_set"), F.lit(".json")), F.concat_ws("/", F.lit("verdicts"), "task", text.slug("judge"))).alias("files"))
-    return files(lists)
+    return publish.distinct_files(lists)
+
+
+# ------------------------------------------------------------ files: written from the tables, read by the sources
+
+
+def _fresh(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/rankloom/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def jsonl_corpus(spark, sf):
+    """S03 of the corpus written as lines of JSON."""
+    path = _fresh(spark, "corpus.jsonl")
+    _docs(spark, sf).select(F.to_json(F.struct(F.col("doc_id").alias("id"), "text")).alias("value")).write.text(path)
+    return corpus.read_jsonl(spark, path).select("doc_id", "text")
+
+
+@query
+def corpus_digest(spark, sf):
+    """P02 of the passage table."""
+    return spark.createDataFrame([(corpus.content_digest(_docs(spark, sf)),)], "digest string")
+
+
+@query
+def own_queries_txt(spark, sf):
+    """Query texts as lines, blank ones dropped."""
+    path = _fresh(spark, "own.txt")
+    _asked(spark, sf).select(F.regexp_replace(F.coalesce("text", F.lit("  ")), r"[\r\n\x0B\f\x{85}\x{2028}\x{2029}]", " ").alias("value")).write.text(path)
+    return queries_source.own_queries(spark, path).groupBy("text").agg(F.count("*").alias("n"))
+
+
+@query
+def own_queries_jsonl(spark, sf):
+    """S08."""
+    path = _fresh(spark, "own") + ".jsonl"
+    _asked(spark, sf).filter("text is not null").select(F.to_json(F.struct(F.col("qid").alias("id"), "text")).alias("value")).write.text(path)
+    return queries_source.own_queries(spark, path).select("qid", "text")
+
+
+@query
+def query_set_file(spark, sf):
+    """A query set written and read back."""
+    path = _fresh(spark, "set") + ".json"
+    good = generate.renumbered(generate.good_quality(_asked(spark, sf).filter(text.query_ok("text"))), 100)
+    queries_source.write_query_set(path, good, {"model": "mock"}, 160)
+    rows, n, _ = queries_source.read_query_set(spark, path)
+    return rows.select("qid", "text", "quality", F.size("seed_doc_ids").alias("n_seeds"), F.lit(n).alias("n_generated"))
+
+
+@query
+def prediction_file_hits(spark, sf):
+    """A prediction file of one model for the stated queries."""
+    path = _fresh(spark, "predictions") + ".json"
+    first = _models(spark, sf)[0]
+    mine = _hits(spark, sf).filter(F.col("model") == first).join(_search(spark, sf).select("qid"), "qid", "left_semi")
+    per = mine.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("doc_id", "score"))).alias("docs"))  # one result list
+    tree = per.agg(F.map_from_entries(F.collect_list(F.struct("qid", "docs"))).alias("test"))  # a prediction file is one document
+    tree.select(F.to_json(F.struct(F.struct("test").alias("default"))).alias("value")).coalesce(1).write.text(path)
+    return logs.prediction_hits(spark, path, first).select("model", "qid", "doc_id", "score")
+
+
+_COMPARISON = ("query_set", "qid", "judge", "model_a", "model_b")
+
+
+@query
+def verdict_log_appends(spark, sf):
+    """Every comparison written twice, first with another outcome; the newer append counts."""
+    path, rows = _fresh(spark, "log"), logs.latest(_verdicts(spark, sf), *_COMPARISON)
+    logs.append_verdicts(rows.withColumn("score_a", 1 - F.col("score_a")).withColumn("reasoning", F.lit("older")), path)
+    logs.append_verdicts(rows, path)
+    newest = logs.latest(logs.read_verdict_log(spark, path), *_COMPARISON)
+    return newest.select(*_COMPARISON, "score_a", F.array_join("raw", ",", "-").alias("raw"), F.size("parsed_ok").alias("orders"))
+
+
+@query
+def corrupt_verdict_lines(spark, sf):
+    """whole lines among broken ones, lines without a required field and lines with an unknown one."""
+    good = F.struct(*[F.col(c) for c in VERDICTS.fieldNames()])
+    line = F.to_json(good, {"ignoreNullFields": "false"})
+    short = F.to_json(F.struct("qid", "model_a"))
+    more = F.concat(F.lit('{"extra": 1, '), F.substring(line, 2, 1 << 30))
+    lines = _t(spark, sf, "verdicts").select("line_no", F.explode(F.array(line, F.substring(line, 1, 40), short, more, F.lit("[]"), F.lit(""))).alias("value"))
+    return logs.verdict_lines(lines).groupBy("judge").agg(F.count("*").alias("n"), _r(F.sum("score_a"), 2).alias("score"))
+
+
+def _task_ratings(spark, sf) -> DataFrame:
+    good = rank.usable(_verdicts(spark, sf))
+    sides = good.select("task", F.explode(F.array(F.struct(F.col("model_a").alias("m"), F.col("score_a").alias("s")), F.struct(F.col("model_b").alias("m"), (1 - F.col("score_a")).alias("s")))).alias("x"))
+    one = lambda c: F.sum(F.when(c, 1.0).otherwise(0.0))
+    return sides.groupBy("task", F.col("x.m").alias("name")).agg(_r(1000 * F.avg("x.s"), 3).alias("rating"), one(F.col("x.s") > 0.5).alias("wins"), one(F.col("x.s") < 0.5).alias("losses"), one(F.col("x.s") == 0.5).alias("ties"), F.count("*").alias("n"))
+
+
+@query
+def record_files(spark, sf):
+    """A record of every task, written, found below a folder and read as rows."""
+    root = _fresh(spark, "results")
+    by: dict[str, list] = {}
+    for r in _task_ratings(spark, sf).orderBy("task", F.desc("rating"), "name").collect():  # a row a task and model
+        by.setdefault(r["task"], []).append(r.asDict() | {"ci_low": r["rating"], "ci_high": r["rating"]})
+    for task, rows in by.items():
+        about = corpus.Corpus(task, f"{task}@r1/default/test", None)
+        experiment = {"judge_model": "mock", "generator_model": None, "arm": "own", "n_queries": 10}
+        record = results.build_record(about, experiment, rows, {}, 1.0, {r["name"]: "r1" for r in rows}, ndcg={r["name"]: 0.5 for r in rows})
+        logs.write_record(record, f"{root}/{text_slug(task)}/{text_slug(task)}__mock.json")
+        logs.write_record(record, f"{root}/elsewhere/{text_slug(task)}__mock.json")  # no record's place
+    return results.records_frame(spark, root).select("task", "arm", "model", "revision", "rating", "wins", "losses", "ties", "n", "ndcg_at_10")
+
+
+@query
+def leaderboard_text(spark, sf):
+    """The printed table, line by line."""
+    rows = [r.asDict() | {"ci_low": 0.0, "ci_high": r["n"]} for r in _task_ratings(spark, sf).groupBy("name").agg(F.sum("rating").alias("rating"), *[F.sum(c).alias(c) for c in ("wins", "losses", "ties")], F.sum("n").cast("double").alias("n")).orderBy(F.desc("rating"), "name").collect()]
+    printed = rank.format_leaderboard(rows).split("\n")
+    return spark.createDataFrame([(i, x) for i, x in enumerate(printed)], "line int, printed string")
+
+
+# ------------------------------------------------------------ more expressions and joins
+
+
+@query
+def extract_json_shapes(spark, sf):
+    """An answer without an object, one inside another, a broken start, several in a row, and fences twice."""
+    p = F.col("props")
+    shapes = [F.lit("no object at all"), F.concat(F.lit('x {"outer": '), p, F.lit("} y")), F.concat(F.lit('{"a": '), p), F.concat(F.lit('{"first": 1} then '), p, F.lit(" }}")), F.concat(F.lit("```\n"), p, F.lit("\n```\n```json\n{\"last\": 2}\n```"))]
+    rows = _t(spark, sf, "events").select("event_id", F.posexplode(F.array(*shapes)).alias("shape", "answer"))
+    got = rows.select("event_id", "shape", F.array_sort(F.map_keys(jsonx.answer_fields("answer"))).alias("k"))
+    return got.select("event_id", "shape", F.array_join("k", ",").alias("members"))
+
+
+@query
+def quality_shapes(spark, sf):
+    """P20: scores as answers spell them."""
+    q = F.col("quality").cast("string")
+    said = F.posexplode(F.array(q, F.concat(q, F.lit(".7")), F.concat(F.lit(" "), q, F.lit(" ")), F.concat(F.lit("x"), q), F.concat(F.lit("-"), q, F.lit(".5")), F.lit("NaN"))).alias("shape", "said")
+    return _asked(spark, sf).filter("quality is not null").select("qid", said).select("qid", "shape", text.quality("said").alias("quality"))
+
+
+@query
+def rated_queries(spark, sf):
+    """Ratings of the mock client and how many were unreadable."""
+    scored, missed = generate.rated(_asked(spark, sf).filter("text is not null"), MockClient())
+    return scored.select("qid", "quality", F.lit(missed).alias("unreadable"))
+
+
+@query
+def ci_half_width(spark, sf):
+    """P24, A06."""
+    found = rank.interval(_t(spark, sf, "documents").filter("lang is not null").select("lang", F.col("n_chars").cast("double").alias("n")), "lang", "n")
+    return found.select("lang", _r(text.half_width("ci_low", "ci_high")).alias("half"))
+
+
+@query
+def requested_verdicts(spark, sf):
+    """Of the log, the comparisons that are asked for."""
+    cols = ["qid", "model_a", "model_b"]
+    asked = _named(_t(spark, sf, "panel")).select(*cols).distinct().withColumn("pair", F.concat_ws("|", "model_a", "model_b")).withColumn("pos", F.col("qid"))
+    log = logs.latest(_verdicts(spark, sf).select(*cols, "line_no", "score_a"), *cols)
+    return judge.in_request_order(log, asked).select(*cols, "pair", "score_a")
+
+
+def _listing(spark, sf, table: str) -> DataFrame:
+    return _t(spark, sf, table).select(F.concat(text.slug("judge"), F.lit("/"), F.col("query_set")).alias("path"), F.sha2("task", 256).alias("sha")).distinct()
+
+
+@query
+def new_files(spark, sf):
+    """Files whose name and content the other side has not."""
+    return publish.new_files(_listing(spark, sf, "panel"), _listing(spark, sf, "verdicts"))
+
+
+@query
+def missing_files(spark, sf):
+    """J14."""
+    return publish.missing_files(_listing(spark, sf, "panel").select("path").distinct(), _listing(spark, sf, "verdicts").select("path").distinct())
+
+
+@query
+def strict_lists(spark, sf):
+    """Lists of which every hit must be in the corpus."""
+    docs = _docs(spark, sf).filter(F.length("text") >= 300)
+    roster = spark.createDataFrame([(m,) for m in _models(spark, sf)], "model string")
+    inside = _hits(spark, sf).join(docs.select("doc_id"), "doc_id", "left_semi")
+    lists = retrieve.top_k(inside, _asked(spark, sf), docs, roster, 10, strict=True)
+    return lists.select("model", "qid", F.array_join("doc_ids", ",").alias("docs"))
+
+
+@query
+def logs_union(spark, sf):
+    """Logs of different columns in one frame."""
+    both = agreement.union_all([_named(_t(spark, sf, "panel")).drop("logged_at"), _verdicts(spark, sf)])
+    return both.groupBy("judge").agg(F.count("*").alias("n"), F.count("logged_at").alias("logged"))
+
+
+@query
+def maxsim_topk(spark, sf):
+    """D06, late interaction: vectors read as four parts each."""
+    part = lambda k: F.slice("embedding", 16 * k + 1, 16)
+    vectors = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.array(*[part(k) for k in range(4)]).alias("vec"))
+    asked = vectors.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), "vec")
+    return _top(retrieve.dense(vectors, asked, retrieve.LATE, k=10).drop("rank"))
+
+
+@query
+def generated_queries(spark, sf):
+    """Generation waves of the mock client over the corpus."""
+    made = generate.generate(written(_docs(spark, sf), "docs"), MockClient(), generate.Settings(n_queries=40, filter=False))
+    return made.select("qid", "text", F.size("seed_doc_ids").alias("n_seeds"))
+
+
+@query
+def correlations(spark, sf):
+    """Agreement of every task's ranking with the panel's, with p-values and intervals."""
+    by: dict[str, list] = {}
+    for r in _agreeing(spark, sf).orderBy("task", "model").collect():  # a row a task and model
+        by.setdefault(r["task"], []).append(r)
+    rows = []
+    for task, some in by.items():
+        c = agreement.correlate({r["model"]: r["g"] for r in some}, {r["model"]: r["t"] for r in some}, 200)
+        if "error" not in c:
+            rows.append((task, c["n_models"], *(round(float(x), 6) for x in (c["spearman_rho"], c["spearman_p"], c["kendall_tau"], c["kendall_p"], c["kendall_ap"], *c["spearman_ci95"]))))
+    return spark.createDataFrame(rows, "task string, n int, rho double, rho_p double, tau double, tau_p double, tau_ap double, low double, high double")
 
 
 # ------------------------------------------------------------ streaming
@@ -499,11 +730,9 @@ def windowed_outcomes(spark, sf):
 @query
 def stream_win_matrix(spark, sf):
     """The win matrix of a standing state fed by a file stream over the log."""
-    import uuid
-
     table = _t(spark, sf, "verdicts")
     # a pattern, as the source takes a single file only by one
-    base = f"{shared_dir(spark)}/rankloom/stream-{uuid.uuid4().hex}"
+    base = _fresh(spark, "stream")
     s = streaming.VerdictStream(spark, f"{sf}/verdicts.parque[t]", table.schema, f"{base}/state", f"{base}/checkpoint")
     s.run_available()
     return s.wins().select("i", "j", _r("w").alias("w"))

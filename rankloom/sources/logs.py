@@ -119,11 +119,13 @@ def pick_official(scores: DataFrame, pinned: DataFrame) -> DataFrame:
 
 
 def truth_for(models: DataFrame, official: DataFrame, own: DataFrame | None = None) -> DataFrame:
-    """(model, score, revision, official) of requested models(model, revision): the official score times
-    100, rounded to 2; without one the own score(model, score) if given, else the model is left out."""
-    base = models.select("model", F.col("revision").alias("pinned")).join(official.select("model", F.col("score").alias("o"), F.col("revision").alias("r")), "model", "left")
+    """([task,] model, score, revision, official) of requested models([task,] model, revision): the official
+    score times 100, rounded to 2; without one the own score(model, score), as `own` has it (the result of
+    evaluating what is missing), else the model is left out. With a task, official scores are those of the task."""
+    keys = [c for c in ("task", "model") if c in models.columns]
+    base = models.select(*keys, F.col("revision").alias("pinned")).join(official.select(*keys, F.col("score").alias("o"), F.col("revision").alias("r")), keys, "left")
     if own is None:
         own = official.sparkSession.createDataFrame([], "model string, score double")
     joined = base.join(own.select("model", F.col("score").alias("w")), "model", "left")
     have = F.coalesce("o", "w")
-    return joined.filter(have.isNotNull()).select("model", F.round(have * 100, 2).alias("score"), F.when(F.col("o").isNotNull(), F.col("r")).otherwise(F.col("pinned")).alias("revision"), F.col("o").isNotNull().alias("official"))
+    return joined.filter(have.isNotNull()).select(*keys, F.round(have * 100, 2).alias("score"), F.when(F.col("o").isNotNull(), F.col("r")).otherwise(F.col("pinned")).alias("revision"), F.col("o").isNotNull().alias("official"))
