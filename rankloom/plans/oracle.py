@@ -230,13 +230,14 @@ _WLT = SQL["win_loss_tie"]
 SQL["record_explode"] = f"SELECT 'arena' AS task, 'mock' AS judge, 'own' AS arm, CAST(100 AS BIGINT) AS n_queries, model, 'r1' AS revision, wins, losses, ties, CAST(n AS BIGINT) AS n FROM ({_WLT})"
 
 
-# Every query that is similar to another is looked at in order: kept unless a kept earlier one is similar.
-SQL["greedy_dedup"] = f"""WITH RECURSIVE {_ASKED}, told AS (SELECT * FROM asked WHERE text IS NOT NULL),
-  sets AS (SELECT qid, pos, list_sort(list_distinct({_TOK})) AS t FROM told), nodes AS (SELECT t, min(pos) AS p FROM sets WHERE len(t) > 0 GROUP BY t),
-  edges AS (SELECT a.p AS early, b.p AS late FROM nodes a JOIN nodes b ON a.p < b.p AND len(list_intersect(a.t, b.t)) >= 0.8 * (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) - 1e-9),
-  line AS (SELECT p, early, row_number() OVER (ORDER BY p) AS i FROM (SELECT p, coalesce(list(early) FILTER (early IS NOT NULL), []) AS early FROM (SELECT p FROM nodes) LEFT JOIN edges ON late = p GROUP BY p)),
-  walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS kept UNION ALL SELECT l.i, CASE WHEN list_has_any(kept, early) THEN kept ELSE list_append(kept, p) END FROM walk w JOIN line l ON l.i = w.i + 1),
-  last AS (SELECT unnest(arg_max(kept, i)) AS pos FROM walk) SELECT qid, pos FROM sets WHERE len(t) = 0 OR pos IN (SELECT pos FROM last)"""
+# Every query that is similar to an earlier one is looked at in order: gone if one of these is not gone.
+SQL["greedy_dedup"] = f"""WITH RECURSIVE {_ASKED}, sets AS MATERIALIZED (SELECT qid, pos, list_sort(list_distinct({_TOK})) AS t FROM asked WHERE text IS NOT NULL),
+  nodes AS MATERIALIZED (SELECT t, min(pos) AS p FROM sets WHERE len(t) > 0 GROUP BY t),
+  edges AS MATERIALIZED (SELECT a.p AS early, b.p AS late FROM nodes a JOIN nodes b ON a.p < b.p AND len(list_intersect(a.t, b.t)) >= 0.8 * (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) - 1e-9),
+  line AS MATERIALIZED (SELECT late AS p, list(early) AS early, row_number() OVER (ORDER BY late) AS i FROM edges GROUP BY late),
+  walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS gone UNION ALL
+    SELECT l.i, CASE WHEN len(list_filter(early, lambda e: NOT list_contains(gone, e))) > 0 THEN list_append(gone, p) ELSE gone END FROM walk w JOIN line l ON l.i = w.i + 1),
+  last AS (SELECT unnest(arg_max(gone, i)) AS pos FROM walk) SELECT qid, pos FROM sets WHERE len(t) = 0 OR (pos IN (SELECT p FROM nodes) AND pos NOT IN (SELECT pos FROM last))"""
 _STRAY = r"[\r\n\x0B\f\x{85}\x{2028}\x{2029}]"
 _LAST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_set, qid, judge, model_a, model_b ORDER BY line_no DESC) AS r FROM verdicts_n) WHERE r = 1)"
 _TASKS = f"""sides AS (SELECT task, model_a AS m, score_a AS s FROM v UNION ALL SELECT task, model_b, 1 - score_a FROM v),
