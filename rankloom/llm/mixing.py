@@ -307,7 +307,8 @@ def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "t
     drawn.sort(key=lambda r: (r["label"], bytes(r["x"])))
     vectors, y = np.stack([np.frombuffer(r["x"], np.float32) for r in drawn]), np.array([at[r["label"]] for r in drawn])
     turn = np.argsort(np.arange(len(y)) % 7, kind="stable")  # every fifth of this order is held out, from every source
-    counts = {r["label"]: r["n"] for r in ids.groupBy("label").agg(F.count("*").alias("n")).collect()}  # one row a source
+    labels = docs.select(known.alias("label"), F.col(key).alias("id")).filter("id is not null and label is not null")  # no text is read for the frequencies
+    counts = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}  # one row a source
     prior = np.array([counts.get(n, 0) + 1.0 for n in present])
     shared = spark.sparkContext.broadcast((fit(vectors, y, k), prior / prior.sum(), sharpness(vectors[turn], y[turn], k)))
     table = written(base.mapInPandas(_members(shared, file, present, trust), f"id {id_type}, filed int, labelled boolean, tokens long, post binary"), "mix-members")
