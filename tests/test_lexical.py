@@ -8,7 +8,7 @@ import pytest
 
 from rankloom.operators import retrieve
 
-SCORES = [retrieve.bm25, retrieve.jaccard]
+SCORES = [retrieve.bm25, retrieve.jaccard, retrieve.tfidf]
 WORDS = ["solar", "tide", "moss", "rail", "yeast", "1763"]
 
 
